@@ -53,3 +53,9 @@ def retention(df: DataFrame, predicate: Column | str) -> DataFrame:
         F.count(F.lit(1)).alias("avant"),
         F.count_if(condition).alias("apres"),
     ).withColumn("pct_conserve", percent(F.col("apres"), F.col("avant"), 1))
+
+
+def sql_over(sql: str, **frames: DataFrame) -> DataFrame:
+    """Run SQL text over DataFrames; each is written ``{name}`` in the text."""
+    spark = next(iter(frames.values())).sparkSession
+    return spark.sql(sql, **frames)

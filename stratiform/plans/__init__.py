@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("gold_queries",)
+FAMILIES = ("gold_queries", "quality_queries", "silver_queries", "enrich_queries")
 
 
 def all_queries():
