@@ -56,6 +56,7 @@ NAME_STYLES = {
     "ascii": normalize_name,
     "prefix_strip": normalize_name_prefixed,
     "light": light_name,
+    "raw": lambda name: name or EMPTY_NAME,
 }
 
 

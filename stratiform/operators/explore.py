@@ -33,7 +33,7 @@ def tabulate(df: DataFrame, column: str, digits: int = 2) -> DataFrame:
     """Frequency, percentage and cumulative percentage of each value."""
     freq = df.groupBy(column).agg(F.count(F.lit(1)).alias("freq"))
     upto = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = df.agg(F.count(F.lit(1))).scalar()
+    everything = freq.agg(F.sum("freq")).scalar()  # of the counted groups: no second scan
     return freq.select(
         column,
         "freq",

@@ -2,7 +2,14 @@
 
 from importlib import import_module
 
-FAMILIES = ("gold_queries", "quality_queries", "silver_queries", "enrich_queries")
+FAMILIES = (
+    "gold_queries",
+    "quality_queries",
+    "silver_queries",
+    "enrich_queries",
+    "file_queries",
+    "version_queries",
+)
 
 
 def all_queries():
