@@ -33,9 +33,12 @@ SPACES = r"[\s\x{00A0}\x{202F}]+"
 
 
 def fold_accents(text: Column) -> Column:
-    for letter, spelled in LIGATURES.items():
-        text = F.replace(text, F.lit(letter), F.lit(spelled))
-    return F.translate(text, FOLD_FROM, FOLD_TO)
+    """Base letters only. Pure ASCII text, seen by its length in bytes, is left as it is."""
+    spelled = text
+    for letter, ascii_letters in LIGATURES.items():
+        spelled = F.replace(spelled, F.lit(letter), F.lit(ascii_letters))
+    folded = F.translate(spelled, FOLD_FROM, FOLD_TO)
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(folded)
 
 
 def normalize_label(text: Column) -> Column:
@@ -57,12 +60,17 @@ def normalize_category(
     synonyms: Mapping[str, Iterable[str]] = SITUATIONS,
     default: str = "autre",
 ) -> Column:
-    """Category whose list holds the folded, squeezed text; everything else is ``default``."""
+    """Category whose list holds the folded, squeezed text; everything else is ``default``.
+
+    One lookup in a constant map, so the text is folded once per row.
+    """
+    category_of: dict[str, str] = {}
+    for category, spellings in synonyms.items():
+        for spelling in spellings:
+            category_of.setdefault(spelling, category)
+    lookup = F.create_map(*[F.lit(part) for pair in category_of.items() for part in pair])
     key = F.trim(F.regexp_replace(F.upper(fold_accents(text)), SPACES, " "))
-    chosen = F.lit(default)
-    for category, spellings in reversed(list(synonyms.items())):
-        chosen = F.when(key.isin(list(spellings)), category).otherwise(chosen)
-    return chosen
+    return F.coalesce(F.try_element_at(lookup, key), F.lit(default))
 
 
 def trim_upper(text: Column) -> Column:

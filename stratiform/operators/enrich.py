@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stratiform.functions.casts import percent
 from stratiform.functions.text import normalize_label
 from stratiform.operators.cleaning import first_per_key
+from stratiform.operators.headers import union_all
 from stratiform.session import checkpointed
 
 BROADCAST_ROWS = 200_000
@@ -53,6 +54,21 @@ class CodeLookup:
     dictionary: DataFrame
 
 
+def _load_all(lookups: Sequence[CodeLookup]) -> tuple[DataFrame | None, dict[str, int]]:
+    """All dictionaries as one stored table, and the number of rows of each."""
+    if not lookups:
+        return None, {}
+    parts = [
+        lookup.dictionary.select(
+            F.lit(lookup.code_column).alias("_dict"), "libelle_norm", F.col("code").cast("string").alias("code")
+        )
+        for lookup in lookups
+    ]
+    stored = checkpointed(union_all(parts))
+    sizes = stored.groupBy("_dict").count().collect()  # one row per dictionary
+    return stored, {row["_dict"]: row["count"] for row in sizes}
+
+
 def enrich_codes(df: DataFrame, lookups: Sequence[CodeLookup], max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One left join per dictionary on the normalised label.
 
@@ -63,15 +79,14 @@ def enrich_codes(df: DataFrame, lookups: Sequence[CodeLookup], max_rows: int = B
     out = df.withColumnsRenamed({name: f"{name}_src" for name in df.columns if name.lower() in added})
     sources = {lookup.source_column for lookup in lookups if lookup.source_column in out.columns}
     out = out.withColumns({f"_key_{s}": normalize_label(F.col(f"`{s}`")) for s in sorted(sources)})
+    small, sizes = _load_all([lookup for lookup in lookups if lookup.source_column in sources])
     for lookup in lookups:
+        name, key = lookup.code_column, f"_key_{lookup.source_column}"
         if lookup.source_column not in sources:
-            out = out.withColumn(lookup.code_column, F.lit(None).cast("string"))
+            out = out.withColumn(name, F.lit(None).cast("string"))
             continue
-        key = f"_key_{lookup.source_column}"
-        small = checkpointed(
-            lookup.dictionary.select(F.col("libelle_norm").alias(key), F.col("code").alias(lookup.code_column))
-        )
-        out = lookup_join(out, small, key, max_rows=max_rows)
+        codes = small.filter(F.col("_dict") == name).select(F.col("libelle_norm").alias(key), F.col("code").alias(name))
+        out = out.join(F.broadcast(codes) if sizes.get(name, 0) <= max_rows else codes, key, "left")
     return out.drop(*[f"_key_{s}" for s in sources])
 
 

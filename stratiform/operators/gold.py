@@ -81,7 +81,7 @@ def aggregate_exact_median(df: DataFrame, dims: Sequence[str], amount: str) -> D
 
 
 PAYROLL_DEFAULTS = {"code_organisme": "NON_CODE", "organisme": "NON_IDENTIFIE"}
-PAYROLL_KEYS = ["periode", "annee", "mois", "code_organisme", "organisme", "situation_normalisee"]
+PAYROLL_KEYS = ["periode", "code_organisme", "organisme", "situation_normalisee"]
 
 
 def payroll_mass(silver: DataFrame, accuracy: int = 10_000) -> DataFrame:
@@ -89,11 +89,10 @@ def payroll_mass(silver: DataFrame, accuracy: int = 10_000) -> DataFrame:
 
     Agents are folded first, with the additive measures, so that the second step counts
     them exactly. The medians are sketched in an aggregation of their own: in the same one,
-    Spark would keep a sketch per agent and group.
+    Spark would keep a sketch per agent and group. Year and month follow from the period,
+    so they are not part of the grouping key.
     """
-    paid = period_parts(
-        default_nulls(silver.dropna(subset=["montant_brut", "montant_net"]), PAYROLL_DEFAULTS)
-    )
+    paid = default_nulls(silver.dropna(subset=["montant_brut", "montant_net"]), PAYROLL_DEFAULTS)
     per_agent = paid.groupBy(*PAYROLL_KEYS, "matricule").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(money("montant_brut")).alias("brut"),
@@ -112,20 +111,21 @@ def payroll_mass(silver: DataFrame, accuracy: int = 10_000) -> DataFrame:
         F.round(F.percentile_approx("montant_brut", 0.5, accuracy), 0).alias("salaire_brut_mediane"),
         F.round(F.percentile_approx("montant_net", 0.5, accuracy), 0).alias("salaire_net_mediane"),
     )
-    return sums.join(medians, same_keys(sums, medians, PAYROLL_KEYS)).select(
+    joined = sums.join(medians, same_keys(sums, medians, PAYROLL_KEYS)).select(
         *[sums[name] for name in sums.columns], "salaire_brut_mediane", "salaire_net_mediane"
     )
+    return period_parts(joined)
 
 
 def headcount_by_sex(silver: DataFrame) -> DataFrame:
-    keys = ["periode", "annee", "mois", "situation_normalisee", "code_organisme"]
-    rows = period_parts(default_nulls(silver, {"code_organisme": "NON_CODE"}))
-    return rows.groupBy(*keys).agg(
+    keys = ["periode", "situation_normalisee", "code_organisme"]
+    counted = default_nulls(silver, {"code_organisme": "NON_CODE"}).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("nb_lignes"),
         F.count_distinct("matricule").alias("nb_agents_uniques"),
         F.count_if(F.col("sexe") == "1").alias("nb_hommes"),
         F.count_if(F.col("sexe") == "2").alias("nb_femmes"),
     )
+    return period_parts(counted)
 
 
 def filtered_totals(df: DataFrame, condition: Column | str, group: str, amount: str) -> DataFrame:
