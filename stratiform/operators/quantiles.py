@@ -29,6 +29,7 @@ def exact_quantiles(
        are combined before the shuffle. The running count over what is left finds the value.
     """
     keys = list(keys)
+    small_group = max(small_group, 4 * accuracy)  # below this the sketch promises too little
     names = list(quantiles)
     margin = 2.0 / accuracy
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
