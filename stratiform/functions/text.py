@@ -28,23 +28,34 @@ def _fold_table() -> tuple[str, str]:
 
 
 FOLD_FROM, FOLD_TO = _fold_table()
-PUNCTUATION = r"[-.'’‘,;:/()\[\]\s\x{00A0}\x{202F}]+"
-SPACES = r"[\s\x{00A0}\x{202F}]+"
+BLANKS = "\t\n\x0b\f\r\u00a0\u202f"
+PUNCTUATION = "-.'’‘,;:/()[]"
 
 
-def fold_accents(text: Column) -> Column:
-    """Base letters only. Pure ASCII text, seen by its length in bytes, is left as it is."""
+def _spelled(text: Column) -> Column:
+    """Ligatures spelled out. Pure ASCII text, seen by its length in bytes, is left as it is."""
     spelled = text
     for letter, ascii_letters in LIGATURES.items():
         spelled = F.replace(spelled, F.lit(letter), F.lit(ascii_letters))
-    folded = F.translate(spelled, FOLD_FROM, FOLD_TO)
-    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(folded)
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(spelled)
+
+
+def fold_accents(text: Column, to_space: str = "") -> Column:
+    """Base letters only, and a space for every sign in ``to_space``: one pass over the text."""
+    return F.translate(_spelled(text), to_space + FOLD_FROM, " " * len(to_space) + FOLD_TO)
+
+
+def squeeze_spaces(text: Column) -> Column:
+    """Runs of spaces become one space, by plain replacements, which cost less than a pattern."""
+    mark = "\ue000"
+    marked = F.replace(text, F.lit(" "), F.lit(f" {mark}"))
+    return F.replace(F.replace(marked, F.lit(f"{mark} "), F.lit("")), F.lit(mark), F.lit(""))
 
 
 def normalize_label(text: Column) -> Column:
     """Matching key of a label: folded, upper case, punctuation and spaces squeezed, blank -> null."""
-    squeezed = F.regexp_replace(F.upper(fold_accents(text)), PUNCTUATION, " ")
-    return F.nullif(F.trim(squeezed), F.lit(""))
+    words = F.upper(fold_accents(text, BLANKS + PUNCTUATION))
+    return F.nullif(F.trim(squeeze_spaces(words)), F.lit(""))
 
 
 # Pay situation -> accepted spellings.
@@ -69,7 +80,7 @@ def normalize_category(
         for spelling in spellings:
             category_of.setdefault(spelling, category)
     lookup = F.create_map(*[F.lit(part) for pair in category_of.items() for part in pair])
-    key = F.trim(F.regexp_replace(F.upper(fold_accents(text)), SPACES, " "))
+    key = F.trim(squeeze_spaces(F.upper(fold_accents(text, BLANKS))))
     return F.coalesce(F.try_element_at(lookup, key), F.lit(default))
 
 
@@ -85,13 +96,22 @@ def blank_to_null(text: Column, *also: str) -> Column:
     return trimmed
 
 
+def metadata_path(column: str = "_metadata.file_path") -> Column:
+    """The file path of Spark's metadata column, where special signs are percent-encoded."""
+    return F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
+
+
 def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def file_stem(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
+    name = file_name(path)
+    extension = F.substring_index(name, ".", -1)
+    return F.when(extension == name, name).otherwise(F.left(name, F.length(name) - F.length(extension) - 1))
 
 
 def file_extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    name = file_name(path)
+    extension = F.substring_index(name, ".", -1)
+    return F.when(extension == name, "").otherwise(F.lower(extension))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratiform.session import checkpointed
+
 
 def schema_drift(headers: DataFrame, period: str = "periode", column: str = "colonne") -> DataFrame:
     """Columns that appeared or disappeared between each two consecutive periods.
@@ -12,7 +14,8 @@ def schema_drift(headers: DataFrame, period: str = "periode", column: str = "col
     Each header row is sent to the change before it and the change after it, so one
     aggregation finds the rows seen on one side only.
     """
-    pairs = headers.select(F.col(period).alias("p"), F.col(column).alias("colonne")).distinct()
+    # Headers are few once distinct; stored, they are not derived again for the neighbours.
+    pairs = checkpointed(headers.select(F.col(period).alias("p"), F.col(column).alias("colonne")).distinct())
     order = Window.orderBy("p")  # one row per period
     periods = pairs.select("p").distinct().select(
         "p", F.lag("p").over(order).alias("previous"), F.lead("p").over(order).alias("next")

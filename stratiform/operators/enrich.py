@@ -15,13 +15,20 @@ from stratiform.operators.headers import union_all
 from stratiform.session import checkpointed
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
+
+
+def _row_bytes() -> Column:
+    """Size of a row as text, which is what a dictionary row mostly is."""
+    return F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")
 
 
 def lookup_join(
     big: DataFrame, small: DataFrame, on, how: str = "left", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Broadcast ``small`` only when a count proves it small; else a shuffled join."""
-    if small.limit(max_rows + 1).count() <= max_rows:
+    """Broadcast ``small`` only when its rows and bytes prove it small; else a shuffled join."""
+    size = small.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), _row_bytes()).first()
+    if size["rows"] <= max_rows and size["bytes"] <= BROADCAST_BYTES:
         small = F.broadcast(small)
     return big.join(small, on, how)
 
@@ -54,10 +61,10 @@ class CodeLookup:
     dictionary: DataFrame
 
 
-def _load_all(lookups: Sequence[CodeLookup]) -> tuple[DataFrame | None, dict[str, int]]:
-    """All dictionaries as one stored table, and the number of rows of each."""
+def _load_all(lookups: Sequence[CodeLookup], max_rows: int) -> tuple[DataFrame | None, set[str]]:
+    """All dictionaries as one stored table, and the names of those small enough to broadcast."""
     if not lookups:
-        return None, {}
+        return None, set()
     parts = [
         lookup.dictionary.select(
             F.lit(lookup.code_column).alias("_dict"), "libelle_norm", F.col("code").cast("string").alias("code")
@@ -65,8 +72,9 @@ def _load_all(lookups: Sequence[CodeLookup]) -> tuple[DataFrame | None, dict[str
         for lookup in lookups
     ]
     stored = checkpointed(union_all(parts))
-    sizes = stored.groupBy("_dict").count().collect()  # one row per dictionary
-    return stored, {row["_dict"]: row["count"] for row in sizes}
+    sizes = stored.groupBy("_dict").agg(F.count(F.lit(1)).alias("rows"), _row_bytes())
+    small = sizes.filter((F.col("rows") <= max_rows) & (F.col("bytes") <= BROADCAST_BYTES))
+    return stored, {row["_dict"] for row in small.collect()}  # one row per dictionary
 
 
 def enrich_codes(df: DataFrame, lookups: Sequence[CodeLookup], max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -79,14 +87,14 @@ def enrich_codes(df: DataFrame, lookups: Sequence[CodeLookup], max_rows: int = B
     out = df.withColumnsRenamed({name: f"{name}_src" for name in df.columns if name.lower() in added})
     sources = {lookup.source_column for lookup in lookups if lookup.source_column in out.columns}
     out = out.withColumns({f"_key_{s}": normalize_label(F.col(f"`{s}`")) for s in sorted(sources)})
-    small, sizes = _load_all([lookup for lookup in lookups if lookup.source_column in sources])
+    stored, small = _load_all([lookup for lookup in lookups if lookup.source_column in sources], max_rows)
     for lookup in lookups:
         name, key = lookup.code_column, f"_key_{lookup.source_column}"
         if lookup.source_column not in sources:
             out = out.withColumn(name, F.lit(None).cast("string"))
             continue
-        codes = small.filter(F.col("_dict") == name).select(F.col("libelle_norm").alias(key), F.col("code").alias(name))
-        out = out.join(F.broadcast(codes) if sizes.get(name, 0) <= max_rows else codes, key, "left")
+        codes = stored.filter(F.col("_dict") == name).select(F.col("libelle_norm").alias(key), F.col("code").alias(name))
+        out = out.join(F.broadcast(codes) if name in small else codes, key, "left")
     return out.drop(*[f"_key_{s}" for s in sources])
 
 

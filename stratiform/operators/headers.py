@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratiform.functions.names import STANDARD_COLUMNS, clean_names, dedupe_names, map_names
-from stratiform.functions.text import file_name, file_stem
+from stratiform.functions.text import file_name, file_stem, metadata_path
 
 
 def normalize_headers(df: DataFrame, style: str = "ascii", start: int = 1) -> DataFrame:
@@ -51,7 +51,7 @@ def add_provenance(
     ingested_on: str | None = None,
 ) -> DataFrame:
     """Period (file stem) and source file name of each row; optionally the ingestion date."""
-    origin = F.url_decode(F.col(path)) if path.startswith("_metadata") else F.col(path)
+    origin = metadata_path(path) if path.startswith("_metadata") else F.col(path)
     added = df.select("*", file_stem(origin).alias(period), file_name(origin).alias(source))
     if ingested_on is not None:
         added = added.withColumn("DATE_INGESTION", F.lit(ingested_on).cast("date"))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from stratiform.operators.headers import union_all
 from stratiform.operators.quality import ALERT
+from stratiform.session import checkpointed
 
 LOG = (
     "version bigint, parent bigint, branch string, committed_at timestamp, operation string, "
@@ -77,41 +78,51 @@ class VersionedDataset:
 
     def commits(self) -> list[Commit]:
         """All commits, oldest first: metadata, one entry per commit."""
-        return [Commit(**row.asDict()) for row in self.log().orderBy("version").collect()]
+        entries = [Commit(**row.asDict()) for row in self.log().collect()]
+        return sorted(entries, key=lambda commit: commit.version)
 
     def _append(self, commit: Commit) -> Commit:
-        row = self.spark.createDataFrame([asdict(commit)], LOG)
-        row.coalesce(1).write.mode("error").parquet(f"{self.path}/log/{commit.version:012d}")
+        kinds = dict(part.strip().split(" ", 1) for part in LOG.split(", "))
+        values = [F.lit(value).cast(kinds[name]).alias(name) for name, value in asdict(commit).items()]
+        entry = self.spark.range(0, 1, 1, 1).select(*values)
+        entry.write.mode("error").parquet(f"{self.path}/log/{commit.version:012d}")
         return commit
 
     def history(self) -> DataFrame:
         return self.log().select("version", "parent", "branch", "committed_at", "operation", "n_rows")
 
-    def branches(self) -> dict[str, Commit]:
+    def branches(self, commits: Sequence[Commit] | None = None) -> dict[str, Commit]:
         """Branches in use and their last commit."""
-        heads: dict[str, Commit] = {}
-        for commit in self.commits():
-            heads[commit.branch] = commit
+        heads = {commit.branch: commit for commit in (self.commits() if commits is None else commits)}
         return {name: head for name, head in heads.items() if head.operation != "drop_branch"}
 
-    def head(self, branch: str = "main") -> Commit:
-        heads = self.branches()
+    def head(self, branch: str = "main", commits: Sequence[Commit] | None = None) -> Commit:
+        heads = self.branches(commits)
         if branch not in heads:
             raise ValueError(f"no branch {branch}")
         return heads[branch]
 
-    def _commit_of(self, version: int) -> Commit:
-        return next(commit for commit in self.commits() if commit.version == version)
+    def _commit_of(self, version: int, commits: Sequence[Commit] | None = None) -> Commit:
+        known = self.commits() if commits is None else commits
+        found = next((commit for commit in known if commit.version == version), None)
+        if found is None:
+            raise ValueError(f"no version {version}")
+        return found
 
-    def _next(self) -> int:
-        return max((commit.version for commit in self.commits()), default=0) + 1
-
-    def _point(self, target: Commit, branch: str, operation: str, at: datetime | None, parent: int | None) -> Commit:
+    def _point(
+        self, commits: Sequence[Commit], target: Commit, branch: str, operation: str, at: datetime | None, parent: int
+    ) -> Commit:
         """A commit that writes no data: the branch now shows the target's parts."""
         return self._append(
             Commit(
-                self._next(), parent, branch, at or datetime.now(timezone.utc), operation,
-                target.n_rows, target.parts, target.columns,
+                commits[-1].version + 1,
+                parent,
+                branch,
+                at or datetime.now(timezone.utc),
+                operation,
+                target.n_rows,
+                target.parts,
+                target.columns,
             )
         )
 
@@ -121,14 +132,17 @@ class VersionedDataset:
         self, df: DataFrame, mode: str = "append", branch: str = "main", at: datetime | None = None
     ) -> Commit:
         """Write ``df`` as a new part. ``append`` may add columns: older rows read as null."""
-        head = self.branches().get(branch)
+        if mode not in ("append", "overwrite"):
+            raise ValueError(f"unknown mode {mode}")
+        commits = self.commits()
+        head = self.branches(commits).get(branch)
         if head is None and branch != "main":
             raise ValueError(f"no branch {branch}")
-        number = self._next()
-        before = head if head is not None and mode == "append" else None
+        number = commits[-1].version + 1 if commits else 1
+        before = head if mode == "append" else None
         schema = _widen(before.schema, df.schema) if before else df.schema
         df.write.mode("overwrite").parquet(self._part(number))
-        written = self.spark.read.schema(df.schema).parquet(self._part(number)).count()
+        written = self.spark.read.schema(df.schema).parquet(self._part(number)).count()  # from the footers
         return self._append(
             Commit(
                 number,
@@ -143,36 +157,39 @@ class VersionedDataset:
         )
 
     def rollback(self, version: int, branch: str = "main", at: datetime | None = None) -> Commit:
-        return self._point(self._commit_of(version), branch, "rollback", at, self.head(branch).version)
+        commits = self.commits()
+        target = self._commit_of(version, commits)
+        return self._point(commits, target, branch, "rollback", at, self.head(branch, commits).version)
 
     def create_branch(self, name: str, source: str = "main", at: datetime | None = None) -> Commit:
-        heads = self.branches()
+        commits = self.commits()
+        heads = self.branches(commits)
         if name in heads:
             return heads[name]
-        base = heads[source]
-        return self._point(base, name, "create_branch", at, base.version)
+        base = self.head(source, commits)
+        return self._point(commits, base, name, "create_branch", at, base.version)
 
     def drop_branch(self, name: str, at: datetime | None = None) -> Commit:
-        head = self.head(name)
-        return self._point(head, name, "drop_branch", at, head.version)
+        commits = self.commits()
+        head = self.head(name, commits)
+        return self._point(commits, head, name, "drop_branch", at, head.version)
 
     def merge(self, branch: str, into: str = "main", at: datetime | None = None) -> Commit:
         """Show the branch's version on ``into``, unless ``into`` moved on since the branch began."""
         commits = self.commits()
+        source, target = self.head(branch, commits), self.head(into, commits)
         base = [c for c in commits if c.branch == branch and c.operation == "create_branch"][-1].parent
-        target = self.head(into)
         if target.version != base:
             raise ValueError(f"{into} has new commits since {branch} was created")
-        return self._point(self.head(branch), into, "merge", at, target.version)
+        return self._point(commits, source, into, "merge", at, target.version)
 
     def publish(
         self, branch: str, checks: Sequence[Check], into: str = "main", at: datetime | None = None
     ) -> tuple[bool, DataFrame | None]:
         """Merge and drop the branch if no check reports an alert; returns the reports."""
-        reports = [
-            check(self.read(branch)).select(F.to_json(F.struct("*")).alias("resultat"), "statut") for check in checks
-        ]
-        report = union_all(reports) if reports else None
+        audited = self.read(branch)
+        reports = [check(audited).select(F.to_json(F.struct("*")).alias("resultat"), "statut") for check in checks]
+        report = checkpointed(union_all(reports)) if reports else None
         if report is not None and not report.filter(F.col("statut") == ALERT).isEmpty():
             return False, report
         self.merge(branch, into, at)
@@ -212,7 +229,8 @@ class VersionedDataset:
 
         Parts that both versions share cancel out and are not read.
         """
-        a, b = self._commit_of(old), self._commit_of(new)
+        commits = self.commits()
+        a, b = self._commit_of(old, commits), self._commit_of(new, commits)
         shared = set(a.parts) & set(b.parts)
         sides = [
             self._parts(commit, [n for n in commit.parts if n not in shared]).withColumn("_n", F.lit(sign))

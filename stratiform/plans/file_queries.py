@@ -10,7 +10,7 @@ from stratiform.functions.text import file_stem
 from stratiform.operators.enrich import apply_value_labels
 from stratiform.plans.fixtures import table
 from stratiform.plans.registry import query
-from stratiform.plans.staging import staged_stata, staged_workbooks
+from stratiform.plans.staging import ORDERS_PER_FILE, staged_stata, staged_workbooks
 from stratiform.session import new_folder
 from stratiform.sinks.files import write_csv, write_parquet
 from stratiform.sinks.tables import append_table, ensure_database, overwrite_table
@@ -140,7 +140,7 @@ def add_provenance(spark, folder):
     return rows.select("o_orderkey", "PERIODE", "FICHIER_SOURCE", "DATE_INGESTION")
 
 
-_LOT = "CAST(o_orderkey // 2000 AS BIGINT)"
+_LOT = f"CAST(o_orderkey // {ORDERS_PER_FILE} AS BIGINT)"
 _LOT_NAME = f"'lot_' || lpad(CAST({_LOT} AS VARCHAR), 9, '0')"
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stratiform.plans.fixtures import table
 from stratiform.session import new_folder
 
-ORDERS_PER_FILE = 2_000
+ORDERS_PER_FILE = 700
 
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"

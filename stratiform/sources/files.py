@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratiform.functions.names import clean_names
-from stratiform.functions.text import file_extension, file_name
+from stratiform.functions.text import file_extension, file_name, metadata_path
 from stratiform.operators.headers import add_provenance, union_all
 
 HEADER_BYTES = 1 << 20
@@ -50,10 +51,13 @@ def read_parquet(spark: SparkSession, *paths: str, merge: bool = False) -> DataF
 
 
 def _open(path: str):
+    """The file behind a path as Spark names it, for reading a few bytes of it."""
     from pyarrow import fs
 
-    uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and "//" not in path else path
-    system, name = fs.FileSystem.from_uri(uri)
+    scheme, separator, rest = path.partition(":")
+    if not separator or scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + (rest or scheme).lstrip("/"))
+    system, name = fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}:{quote(rest, safe='/:@')}")
     return system.open_input_file(name)
 
 
@@ -156,7 +160,7 @@ def file_inventory(spark: SparkSession, path: str, sep: str = ",", encoding: str
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.csv")
         .csv(path)
-        .groupBy(F.url_decode("_metadata.file_path").alias("_path"))
+        .groupBy(metadata_path().alias("_path"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     counts = counts.withColumn("_path", F.regexp_replace("_path", "^file:///", "file:/"))

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratiform.functions.casts import to_strings
-from stratiform.functions.text import file_name, file_stem
+from stratiform.functions.text import file_name, file_stem, metadata_path
 
 
 def ingest_new_files(
@@ -33,7 +32,7 @@ def ingest_new_files(
         .option("maxFilesPerTrigger", str(files_per_batch))
         .load(source)
     )
-    path = F.url_decode("_metadata.file_path")
+    path = metadata_path()
     named = stream.select("*", file_stem(path).alias("PERIODE"), file_name(path).alias("FICHIER_SOURCE"))
     run = (
         to_strings(named)

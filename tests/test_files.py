@@ -113,6 +113,13 @@ def test_csv_files_with_other_columns(spark, tmp_path, sep, encoding):
     ]
 
 
+def test_odd_file_names_are_kept(spark, tmp_path):
+    put(tmp_path, "2015 01+é%.csv", b"a\n1\n")
+    table = files.read_csv_strings(spark, str(tmp_path), provenance=True)
+    assert rows_of(table) == [("1", "2015 01+é%", "2015 01+é%.csv")]
+    assert files.file_inventory(spark, str(tmp_path)).first().nb_lignes == 1
+
+
 def test_csv_bom_and_types(spark, tmp_path):
     put(tmp_path, "a.csv", "﻿id;nom;x\n1;été;2.5\n".encode())
     assert files.read_csv_strings(spark, str(tmp_path), ";").columns == ["id", "nom", "x"]

@@ -16,6 +16,7 @@ def test_labels(spark):
     cases = {
         "Ministère de l'Économie": "MINISTERE DE L ECONOMIE",
         "Ministère de l’Économie": "MINISTERE DE L ECONOMIE",
+        "A   B     c": "A B C",
         "  d.g.-x (a)/[b] ; c : d,e ": "D G X A B C D E",
         "Œuvre Straße": "OEUVRE STRASSE",
         "a\u00a0\u202fb": "A B",
