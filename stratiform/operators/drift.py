@@ -62,3 +62,12 @@ def column_count_stats(headers: DataFrame, period: str = "periode", column: str
         F.max("nb_colonnes").alias("max_colonnes"),
         F.round(F.avg("nb_colonnes"), 1).alias("moy_colonnes"),
     )
+
+
+def columns_per_sheet(headers: DataFrame, period: str = "periode", sheet: str = "sheet_no") -> DataFrame:
+    """Columns of the first and second sheet of each period's file."""
+
+    def of(number: int):
+        return F.count_if(F.col(sheet) == number).alias(f"nb_cols_f{number}")
+
+    return headers.groupBy(period).agg(of(1), of(2))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from stratiform.functions.text import file_stem
+from stratiform.operators import drift
 from stratiform.operators.enrich import apply_value_labels
 from stratiform.plans.fixtures import table
 from stratiform.plans.registry import query
@@ -190,6 +191,16 @@ def detect_header_row(spark, folder):
     return found.select(file_stem(F.col("path")).alias("fichier"), "sheet", "header_row")
 
 
+@query(
+    "columns_per_sheet",
+    f"""
+SELECT {_LOT_NAME} AS periode, CAST(4 + {_LOT} % 2 AS BIGINT) AS nb_cols_f1, CAST(3 AS BIGINT) AS nb_cols_f2
+FROM orders GROUP BY ALL""",
+)
+def columns_per_sheet(spark, folder):
+    return drift.columns_per_sheet(workbook.workbook_headers(staged_workbooks(spark, folder)))
+
+
 @query(
     "ingest_error_report",
     f"""

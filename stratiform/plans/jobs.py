@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 from stratiform.functions.casts import cast_code_columns, cast_columns
 from stratiform.functions.names import STANDARD_COLUMNS
 from stratiform.functions.text import normalize_category
-from stratiform.operators import quality
+from stratiform.operators import drift, quality
 from stratiform.operators.cleaning import drop_duplicate_rows, drop_null_rows, first_per_key
 from stratiform.operators.enrich import CodeLookup, enrich_codes
 from stratiform.operators.gold import GoldSpec, headcount, headcount_by_sex, layer_counts, payroll_mass
 from stratiform.operators.headers import map_columns, rename_map
 from stratiform.operators.versions import VersionedDataset
+from stratiform.session import checkpointed
 from stratiform.sinks.files import write_csv, write_report
 from stratiform.sinks.tables import ensure_database, overwrite_table, validate_table_name
+from stratiform.sources.cells import error_report
 from stratiform.sources.files import read_binary
 from stratiform.sources.mixed import read_mixed
-from stratiform.sources.workbook import two_sheet_table
+from stratiform.sources.workbook import two_sheet_table, workbook_headers, workbook_preview
 
 AMOUNTS = ["montant_brut", "montant_net", "retenue_pension", "impot", "charge_patronale"]
 
@@ -32,6 +34,29 @@ def save(df: DataFrame, table: str, path: str | None = None, partition_by: Seque
     return overwrite_table(df, table, path, partition_by)
 
 
+def pre_analysis(spark: SparkSession, source: str, token: str = "matricule") -> dict[str, DataFrame]:
+    """Reports on the monthly workbooks before ingestion, by file name.
+
+    Only the first rows of each sheet are decoded; the headers are stored once for all reports.
+    """
+    files = read_binary(spark, source, "*.{xlsx,xls}")
+    headers = checkpointed(workbook_headers(files, token))
+    first = headers.filter("sheet_no = 1")
+    return {
+        "inventaire_fichiers": headers.groupBy("fichier", "sheet_no").agg(
+            F.count(F.lit(1)).alias("nb_colonnes"),
+            F.concat_ws("|", F.sort_array(F.collect_list(F.struct("position", "colonne")))["colonne"]).alias("colonnes"),
+        ),
+        "colonnes_uniques": drift.distinct_columns(headers),
+        "colonnes_f1_uniques": drift.distinct_columns(first),
+        "codes_f2_uniques": drift.numeric_code_columns(headers.filter("sheet_no = 2")),
+        "stats_par_periode": drift.columns_per_sheet(headers),
+        "stats_f1": drift.column_count_stats(first),
+        "changements_f1": drift.schema_drift(first),
+        "erreurs": error_report(workbook_preview(files)),
+    }
+
+
 def bronze_files(spark: SparkSession, source: str, table: str, **options) -> DataFrame:
     """Files of any supported format, as text with provenance, in one write."""
     return save(read_mixed(spark, source, **options), table)
@@ -39,7 +64,7 @@ def bronze_files(spark: SparkSession, source: str, table: str, **options) -> Dat
 
 def bronze_payroll(spark: SparkSession, source: str, table: str) -> DataFrame:
     """Monthly two-sheet workbooks, the second sheet's codes joined to the agents."""
-    return save(two_sheet_table(read_binary(spark, source, "*.xlsx")), table)
+    return save(two_sheet_table(read_binary(spark, source, "*.{xlsx,xls}")), table)
 
 
 @dataclass(frozen=True)

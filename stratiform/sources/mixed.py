@@ -11,7 +11,7 @@ from stratiform.sources.files import list_files, read_csv_strings, read_parquet
 from stratiform.sources.stata import read_stata_files
 from stratiform.sources.workbook import read_workbooks
 
-SUPPORTED = ("csv", "parquet", "xlsx", "dta")
+SUPPORTED = ("csv", "parquet", "xlsx", "xls", "dta")
 
 
 def _parquet(spark: SparkSession, path: str, style: str) -> DataFrame:
@@ -44,6 +44,7 @@ def read_mixed(
     unknown = sorted(seen - set(SUPPORTED) - {"", "crc"})
     if strict and unknown:
         raise ValueError(f"unsupported formats: {unknown}")
+    seen = {"xlsx" if extension == "xls" else extension for extension in seen}
     readers = {
         "csv": lambda: read_csv_strings(spark, path, sep, encoding, style, provenance=True),
         "parquet": lambda: _parquet(spark, path, style),

@@ -12,11 +12,14 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratiform.functions.names import clean_names
+from stratiform.functions.text import file_name, file_stem
 from stratiform.operators.enrich import join_sheets
-from stratiform.sources.cells import decode_files, header_rows, table_of
+from stratiform.sources.cells import decode_files, header_rows, named_headers, table_of
 from stratiform.sources.files import read_binary
 
 PREVIEW_ROWS = 20
+LEGACY_MARK = bytes.fromhex("d0cf11e0a1b11ae1")  # fixed value: first bytes of an .xls file
 
 
 def _tag(element) -> str:
@@ -98,8 +101,22 @@ def _sheet_rows(stream, shared: list[str], max_rows: int | None) -> Iterator[tup
         yield last, cells
 
 
+def _legacy_workbook(content: bytes, sheet: str | int | None, max_rows: int | None) -> Iterator[tuple]:
+    """The older binary format (.xls); pandas reads it where the optional ``xlrd`` is installed."""
+    import pandas as pd
+
+    sheets = pd.read_excel(io.BytesIO(content), sheet_name=None, header=None, dtype=str, nrows=max_rows, engine="xlrd")
+    for number, (name, frame) in enumerate(sheets.items(), 1):
+        if sheet is None or sheet in (name, number):
+            for row_no, values in enumerate(frame.itertuples(index=False, name=None), 1):
+                yield name, number, row_no, [value if isinstance(value, str) and value else None for value in values]
+
+
 def decode_workbook(content: bytes, sheet: str | int | None = None, max_rows: int | None = None) -> Iterator[tuple]:
     """``(sheet, sheet_no, row_no, cells)`` of one sheet (name, or number from 1) or of all."""
+    if content.startswith(LEGACY_MARK):
+        yield from _legacy_workbook(content, sheet, max_rows)
+        return
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         shared = _shared_strings(book)
         for number, (name, member) in enumerate(_sheet_files(book), 1):
@@ -145,7 +162,18 @@ def sheet_range(files: DataFrame, sheet: str | int, first_row: int = 1, style: s
 
 
 def read_workbooks(spark: SparkSession, path: str, **options) -> DataFrame:
-    return workbook_table(read_binary(spark, path, "*.xlsx"), **options)
+    return workbook_table(read_binary(spark, path, "*.{xlsx,xls}"), **options)
+
+
+def workbook_headers(files: DataFrame, token: str | None = "matricule") -> DataFrame:
+    """``(fichier, periode, sheet_no, position, colonne)``: the raw header of every sheet."""
+    headers = named_headers(workbook_preview(files), "raw", token, PREVIEW_ROWS)
+    return headers.select(
+        file_name(F.col("path")).alias("fichier"),
+        file_stem(F.col("path")).alias("periode"),
+        "sheet_no",
+        F.posexplode("raw").alias("position", "colonne"),
+    ).filter(F.col("colonne").isNotNull())
 
 
 _F2_KEY = re.compile(r"MATRICULE.*\|\|", re.IGNORECASE)
@@ -164,8 +192,6 @@ def two_sheet_table(files: DataFrame, style: str = "prefix_strip", token: str =
     left = next((name for name in ("CLE_UNIQUE", "MATRICULE") if name in agents.columns), None)
     if key is None or left is None:
         return agents
-    from stratiform.functions.names import clean_names
-
     others = [name for name in codes.columns if name not in (key, "PERIODE", "FICHIER_SOURCE")]
     codes = codes.select(F.col(f"`{key}`").alias("_f2"), "FICHIER_SOURCE", *[F.col(f"`{c}`") for c in others])
     codes = codes.toDF("_f2", "FICHIER_SOURCE", *clean_names(others, style, 2))

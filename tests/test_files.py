@@ -85,6 +85,12 @@ def test_cell_kinds(spark, tmp_path):
     assert len(list(workbook.decode_workbook(edited.getvalue(), 1, max_rows=2))) == 1
 
 
+def test_old_binary_workbooks_need_their_reader(spark, tmp_path):
+    put(tmp_path, "vieux.xls", workbook.LEGACY_MARK + b"rest")
+    rows = workbook.workbook_rows(files.read_binary(spark, str(tmp_path), "*.{xlsx,xls}"))
+    assert cells.error_report(rows).count() == 1
+
+
 def test_sheet_address(spark, tmp_path):
     put(tmp_path, "a.xlsx", workbook_bytes([("Un", [["z"]]), ("Deux", [["titre"], ["Col a", "Col.b"], ["1", "2"]])]))
     found = files.read_binary(spark, str(tmp_path), "*.xlsx")

@@ -21,6 +21,12 @@ def test_payroll_from_workbooks_to_gold(spark, tmp_path):
         ]
         codes = [["MATRICULE||CODE_ORGANISME", "101"], ["a1", 7]]
         (source / f"{month}.xlsx").write_bytes(workbook_bytes([("F1", [["titre"], HEADER, *agents]), ("F2", [[], *codes])]))
+    (source / "2015_03.xlsx").write_bytes(b"damaged")
+    before = jobs.pre_analysis(spark, str(source))
+    assert rows_of(before["stats_par_periode"]) == [("2015_01", 7, 2), ("2015_02", 7, 2)]
+    assert rows_of(before["codes_f2_uniques"]) == [("101",)]
+    assert before["changements_f1"].count() == 0 and before["erreurs"].count() == 1
+    assert before["inventaire_fichiers"].filter("sheet_no = 1").first().colonnes == "|".join(HEADER)
     bronze = jobs.bronze_payroll(spark, str(source), "bronze.panel_solde")
     assert bronze.count() == 6 and set(kind for _, kind in bronze.dtypes) == {"string"}
     dictionary = spark.createDataFrame([("MINISTERE DE LA SANTE", "S1")], "libelle_norm string, code string")
