@@ -24,9 +24,9 @@ class GoldSpec:
 
 
 def money(column: Column | str) -> Column:
-    """Sums of a two-decimal amount that do not depend on the order of the rows."""
+    """Amounts to four decimals: their sum is exact, so it does not depend on the order of the rows."""
     column = F.col(column) if isinstance(column, str) else column
-    return column.cast("decimal(18,2)")
+    return column.cast("decimal(22,4)")
 
 
 def total(column: str) -> Column:

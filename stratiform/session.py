@@ -16,6 +16,37 @@ DEFAULTS = {
 }
 
 
+TASK_BYTES = 128 << 20
+
+# Input size in bytes (below), driver memory, executor memory, executors.
+SIZING = (
+    (500 << 20, "4g", "4g", 2),
+    (5 << 30, "8g", "4g", 2),
+    (30 << 30, "16g", "8g", 2),
+    (None, "16g", "16g", 4),
+)
+
+
+def settings_for(input_bytes: int, cores_per_executor: int = 4) -> dict[str, str]:
+    """Memory and executors by input size, and enough shuffle partitions to fit in them.
+
+    The table ends at 4 executors; beyond its last step, executors grow with the input.
+    Adaptive execution joins partitions that turn out small.
+    """
+    driver, executor, count = next(
+        (d, e, n) for limit, d, e, n in SIZING if limit is None or input_bytes < limit
+    )
+    partitions = max(200, -(-input_bytes // TASK_BYTES))
+    waves = 200
+    return {
+        "spark.driver.memory": driver,
+        "spark.executor.memory": executor,
+        "spark.executor.cores": str(cores_per_executor),
+        "spark.executor.instances": str(max(count, -(-partitions // (waves * cores_per_executor)))),
+        "spark.sql.shuffle.partitions": str(partitions),
+    }
+
+
 def get_session(app_name: str = "stratiform", master: str | None = None, **conf: str) -> SparkSession:
     """Session with adaptive execution on; ``conf`` keys use ``__`` for the dots."""
     builder = SparkSession.builder.appName(app_name)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stratiform.functions.names import clean_names
 from stratiform.operators.enrich import lookup_join
 from stratiform.operators.headers import add_provenance
+from stratiform.session import checkpointed
 
 CELL_ROWS = "path string, sheet string, sheet_no int, row_no bigint, cells array<string>, error string"
 _ARROW = pa.schema(
@@ -114,11 +115,11 @@ def table_of(
 ) -> DataFrame:
     """One text column per header name over all files; a file without the column gives null.
 
-    ``preview`` holds the first rows of each sheet. The place of each column is worked out
-    once per sheet, so a data row only picks its cells.
+    ``preview`` holds the first rows of each sheet. Its headers, one row per sheet, are stored.
+    The place of each column is worked out once per sheet, so a data row only picks its cells.
     """
     preview = preview.filter(F.col("sheet_no") == sheet_no)
-    headers = named_headers(preview, style, token, start=start)
+    headers = checkpointed(named_headers(preview, style, token, start=start))
     names = all_names(headers)
     wanted = F.array(*[F.lit(name) for name in names])
     places = headers.select(

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratiform.functions.casts import to_strings
-from stratiform.operators.headers import add_provenance, normalize_headers, union_all
-from stratiform.sources.files import list_files, read_csv_strings, read_parquet
+from stratiform.functions.names import clean_names
+from stratiform.operators.headers import add_provenance, union_all
+from stratiform.sources.files import list_files, read_csv_strings
 from stratiform.sources.stata import read_stata_files
 from stratiform.sources.workbook import read_workbooks
 
@@ -15,15 +15,15 @@ SUPPORTED = ("csv", "parquet", "xlsx", "xls", "dta")
 
 
 def _parquet(spark: SparkSession, path: str, style: str) -> DataFrame:
-    found = list_files(spark, path, ["parquet"]).select("path")
-    rows = read_parquet(spark, *[row.path for row in found.collect()], merge=True)
-    clean = to_strings(normalize_headers(rows, style))
-    names = rows.columns
-    return add_provenance(rows).select(
-        *[F.col(f"`{old}`").cast("string").alias(new) for old, new in zip(names, clean.columns)],
-        "PERIODE",
-        "FICHIER_SOURCE",
+    rows = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.parquet")
+        .option("mergeSchema", "true")
+        .parquet(path)
     )
+    clean = clean_names(rows.columns, style)
+    texts = [F.col(f"`{old}`").cast("string").alias(new) for old, new in zip(rows.columns, clean)]
+    return add_provenance(rows).select(*texts, "PERIODE", "FICHIER_SOURCE")
 
 
 def read_mixed(

@@ -5,8 +5,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stratiform.functions.names import clean_names
 from stratiform.functions.text import file_name, file_stem
 from stratiform.operators.enrich import join_sheets
+from stratiform.session import checkpointed
 from stratiform.sources.cells import decode_files, header_rows, named_headers, table_of
 from stratiform.sources.files import read_binary
 
@@ -36,16 +37,24 @@ def _text(element) -> str:
     return "".join(t.text or "" for run in runs for t in _children(run, "t"))
 
 
-def _shared_strings(book: zipfile.ZipFile) -> list[str]:
-    if "xl/sharedStrings.xml" not in book.namelist():
-        return []
-    strings = []
-    with book.open("xl/sharedStrings.xml") as stream:
-        for _, element in ElementTree.iterparse(stream):
-            if _tag(element) == "si":
-                strings.append(_text(element))
-                element.clear()
-    return strings
+def _shared_strings(book: zipfile.ZipFile) -> Callable[[int], str]:
+    """Shared strings by number, parsed no further than asked for: a preview needs few."""
+
+    def parse() -> Iterator[str]:
+        with book.open("xl/sharedStrings.xml") as stream:
+            for _, element in ElementTree.iterparse(stream):
+                if _tag(element) == "si":
+                    yield _text(element)
+                    element.clear()
+
+    source, known = parse(), []
+
+    def lookup(number: int) -> str:
+        while len(known) <= number:
+            known.append(next(source))
+        return known[number]
+
+    return lookup
 
 
 def _sheet_files(book: zipfile.ZipFile) -> list[tuple[str, str]]:
@@ -61,41 +70,45 @@ def _sheet_files(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     return found
 
 
-def _column(reference: str) -> int:
-    """0-based column of a cell reference such as ``AB12``."""
+@lru_cache(maxsize=20_000)
+def _column(letters: str) -> int:
+    """0-based column of the letters of a cell reference, such as ``AB``."""
     number = 0
-    for letter in re.match("[A-Z]+", reference).group():
+    for letter in letters:
         number = number * 26 + ord(letter) - 64
     return number - 1
 
 
-def _cell(element, shared: list[str]) -> str | None:
-    kind = element.get("t", "n")
-    if kind == "inlineStr":
-        return next((_text(inline) for inline in _children(element, "is")), None)
-    value = next((v.text for v in _children(element, "v")), None)
-    if value is None or kind == "e":
-        return None
-    if kind == "s":
-        return shared[int(value)]
+def _cell(element, shared: Callable[[int], str]) -> str | None:
+    kind = element.get("t")
+    value = None
+    for child in element:
+        if child.tag.endswith("}v"):
+            value = child.text
+        elif child.tag.endswith("}is"):
+            return _text(child)
+    if kind == "s" and value is not None:
+        return shared(int(value))
     if kind == "b":
         return "TRUE" if value == "1" else "FALSE"
-    return value
+    return None if kind == "e" else value
 
 
-def _sheet_rows(stream, shared: list[str], max_rows: int | None) -> Iterator[tuple[int, list]]:
+def _sheet_rows(stream, shared: Callable[[int], str], max_rows: int | None) -> Iterator[tuple[int, list]]:
     last = 0
     for _, element in ElementTree.iterparse(stream):
-        if _tag(element) != "row":
+        if not element.tag.endswith("}row"):
             continue
         last = int(element.get("r", last + 1))
         if max_rows is not None and last > max_rows:
             return
         cells: list[str | None] = []
-        for cell in _children(element, "c"):
+        for cell in element:
             reference = cell.get("r")
-            place = _column(reference) if reference else len(cells)
-            cells.extend([None] * (place - len(cells)))
+            if reference:
+                gap = _column(reference.rstrip("0123456789")) - len(cells)
+                if gap:
+                    cells.extend([None] * gap)
             cells.append(_cell(cell, shared) or None)
         element.clear()
         yield last, cells
@@ -185,8 +198,8 @@ def two_sheet_table(files: DataFrame, style: str = "prefix_strip", token: str =
     The second sheet's key is its column whose raw name matches ``MATRICULE...||``; the first
     sheet's key is ``CLE_UNIQUE``, else ``MATRICULE``.
     """
-    agents = workbook_table(files, 1, style, token, start=2)
-    preview = workbook_preview(files, 2)
+    preview = checkpointed(workbook_preview(files))
+    agents = table_of(workbook_rows(files, 1), preview, 1, style, token, start=2)
     codes = table_of(workbook_rows(files, 2), preview, 2, "raw", token, start=2)
     key = next((name for name in codes.columns if _F2_KEY.search(name)), None)
     left = next((name for name in ("CLE_UNIQUE", "MATRICULE") if name in agents.columns), None)

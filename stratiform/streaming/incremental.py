@@ -16,7 +16,7 @@ def ingest_new_files(
     state: str,
     schema: T.StructType,
     file_format: str = "parquet",
-    files_per_batch: int = 10,
+    files_per_batch: int = 1_000,
     **options: str,
 ) -> DataFrame:
     """Append the unseen files below ``source`` to the text table at ``target``.
