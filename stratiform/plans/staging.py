@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratiform.plans.fixtures import table
-from stratiform.session import new_folder
+from stratiform.session import new_folder, ship_package
 
 ORDERS_PER_FILE = 700
 
@@ -98,6 +98,7 @@ def _staged(spark: SparkSession, folder: str, build, label: str) -> DataFrame:
     """Whole ``orders`` as files of a bounded number of rows, in the shape of ``binaryFile``."""
     orders = table(spark, folder, "orders").withColumn("lot", F.floor(F.col("o_orderkey") / ORDERS_PER_FILE))
     path = new_folder(spark, label)
+    ship_package(spark)
     orders.drop("o_orderdate").groupBy("lot").applyInPandas(build, "path string, content binary").write.parquet(path)
     return spark.read.parquet(path)
 

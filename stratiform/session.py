@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,6 +80,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python tasks this package, wherever the driver was started from."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if context.applicationId not in _shipped and root.is_dir():
+        target = os.path.join(tempfile.mkdtemp(prefix="stratiform-"), root.name)
+        context.addPyFile(shutil.make_archive(target, "zip", root.parent, root.name))
+        _shipped.add(context.applicationId)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
     return os.path.join(shared_dir(spark), "stratiform", f"{label}-{uuid.uuid4().hex}")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stratiform.functions.names import clean_names
 from stratiform.operators.enrich import lookup_join
 from stratiform.operators.headers import add_provenance
-from stratiform.session import checkpointed
+from stratiform.session import checkpointed, ship_package
 
 CELL_ROWS = "path string, sheet string, sheet_no int, row_no bigint, cells array<string>, error string"
 _ARROW = pa.schema(
@@ -62,6 +62,7 @@ def decode_files(files: DataFrame, decode: Callable[[bytes], Iterable[Row]]) ->
                     done = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(failed, _ARROW)], schema=_ARROW)]
                 yield from done
 
+    ship_package(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, CELL_ROWS)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from stratiform.functions.names import clean_names
 from stratiform.functions.text import file_extension, file_name, metadata_path
 from stratiform.operators.headers import add_provenance, union_all
+from stratiform.session import ship_package
 
 HEADER_BYTES = 1 << 20
 
@@ -93,6 +94,7 @@ def probe_headers(spark: SparkSession, path: str, sep: str = ",", encoding: str
     """``(path, extension, noms, lignes, erreur)`` of each Parquet or CSV file below a path."""
     files = list_files(spark, path, ["parquet", "csv"]).filter("taille > 0").select("path", "extension")
     schema = "path string, extension string, noms array<string>, lignes bigint, erreur string"
+    ship_package(spark)
     return files.mapInPandas(_probe(sep, encoding), schema)
 
 
