@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratiform.llm import pieces, topk, toxic_spans
+from stratiform.llm import bloom_lm, pieces, topk, toxic_spans
 from stratiform.llm.registry import query, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -51,3 +51,13 @@ def op10_sentencepiece(spark, folder):
     return out.select(
         "doc_id", n_pieces.alias("n_pieces"), same.alias("lossless"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids"
     )
+
+
+@query("op2_lm_scoring")
+def op2_lm_scoring(spark, folder):
+    """Unigram and model scores of every document; a seventh is held out of training."""
+    docs = table(spark, folder, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    out = bloom_lm.score_texts(docs, fold)
+    held_out = F.coalesce(fold, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
