@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratiform.llm.packed import bits_for, cut_by_bucket, pack, unpack
+from stratiform.llm.stored import stored
 from stratiform.llm.words import batches_of, grams, mixed, word_hashes
-from stratiform.session import new_folder, ship_package
+from stratiform.session import ship_package
 
 ORDER = 2
 #: Size of the filter: so many bits a training token, but never more than the limit (64 MB). Beyond it no n-gram is left
@@ -217,11 +218,9 @@ def train(
     counted bucket by bucket, and each bucket fills its own stretch of the filter, whose size has a fixed limit.
     """
     ship_package(docs.sparkSession)
-    spark, docs = docs.sparkSession, docs.select("text")
-    folder = new_folder(spark, "tokens")
+    docs = docs.select("text")
     counts = docs.mapInArrow(_count_tokens("text"), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counts.write.parquet(folder)
-    counts = spark.read.parquet(folder)
+    counts = stored(counts, "tokens")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # The end mark is a context's count, so it is always among the words at hand.
     frequent = counts.orderBy((F.col("token") == int(END.view(np.int64))).desc(), F.col("n").desc(), "token").limit(head).toArrow()
@@ -293,9 +292,7 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, prior: fl
     shared = spark.sparkContext.broadcast(model)
     # Rows that share id and text get the same figures, so the pair serves as key and repeats are counted.
     keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    folder = new_folder(spark, "scored")
-    keyed.select("doc_id", "text", "text_key").mapInArrow(_score(shared), SCORED).write.parquet(folder)
-    scored = spark.read.parquet(folder)
+    scored = stored(keyed.select("doc_id", "text", "text_key").mapInArrow(_score(shared), SCORED), "scored")
     rare = scored.select("doc_id", "text_key", F.inline("rare")).join(
         counts.withColumnRenamed("n", "held"), "token"
     )

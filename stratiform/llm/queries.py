@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from stratiform.llm import model_queries, native_queries, registry
+from stratiform.llm import model_queries, native_queries, registry, text_queries
 
-__all__ = ["model_queries", "native_queries", "registry"]
+__all__ = ["model_queries", "native_queries", "registry", "text_queries"]

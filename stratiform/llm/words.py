@@ -126,10 +126,10 @@ def grams(keys: np.ndarray, n: int) -> np.ndarray:
 
 def sequence_hash(keys: np.ndarray) -> np.uint64:
     """Hash of a whole short sequence of keys."""
-    total = _U(len(keys))
-    for i, key in enumerate(keys):
-        total = total * _U(_BASE) + key * _STEP[i % len(_STEP)]
-    return mixed(np.array([total], dtype=np.uint64))[0]
+    total = np.full(1, len(keys), dtype=np.uint64)
+    for i in range(len(keys)):
+        total = total * _U(_BASE) + keys[i : i + 1] * _STEP[i % len(_STEP)]
+    return mixed(total)[0]
 
 
 def batches_of(reader, rows: int = 1 << 30, size: int = 24 << 20):
