@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stratiform.llm import chat, mixing, quality_rules, url_filters
 from stratiform.llm.registry import query, table
+from stratiform.llm.stored import stored
 
 # The rules of the query, as host, path and verdict.
 RULES = [
@@ -70,8 +71,8 @@ def op5_url_filters(spark, folder):
 @query("op7_quality_rules")
 def op7_quality_rules(spark, folder):
     """Statistics and verdict of every document."""
-    docs = table(spark, folder, "documents")
-    stats = quality_rules.store_statistics(docs, "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    stats = stored(quality_rules.with_statistics(docs).drop("text"), "statistics")
     out = quality_rules.judged(stats, quality_rules.fit_groups(stats))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return out.select("doc_id", *counts, "base_failed", "kept", "d2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratiform.llm.stored import stored
 from stratiform.llm.words import words
 from stratiform.session import checkpointed
 
@@ -173,22 +174,20 @@ def fit_groups(stats: DataFrame) -> DataFrame:
     return checkpointed(estimates)
 
 
-def judge_quality(docs: DataFrame, stats: DataFrame | None = None, limit: float = FAR) -> DataFrame:
+def judge_quality(docs: DataFrame, limit: float = FAR) -> DataFrame:
     """Adds the text statistics, ``base_failed``, ``d2`` (squared distance from the group) and ``kept`` to every document.
 
     A document is kept when it doesn't fail the base rules and its distance is within ``limit``. Null languages and
     sources are groups of their own; a group of one or of equal documents rejects nothing; repeated rows are judged
-    alike; an empty table gives an empty one. ``stats`` may hold statistics stored before, else they are stored here.
+    alike; an empty table gives an empty one; columns named like the new ones are replaced. Documents are stored with
+    their statistics, so that a text is read once and later expressions start from plain columns.
     """
-    stats = stats if stats is not None else store_statistics(docs)
-    rows = text_statistics(docs).withColumns(_vector())
-    return judged(rows, fit_groups(stats), limit)
+    rows = stored(with_statistics(docs), "quality")
+    return judged(rows, fit_groups(rows), limit)
 
 
-def store_statistics(docs: DataFrame, *extra: str) -> DataFrame:
-    """The statistics of every document without its text, written once."""
-    rows = text_statistics(docs.select(*extra, *KEYS, "text")).withColumns(_vector())
-    return checkpointed(rows.drop("text"))
+def with_statistics(docs: DataFrame) -> DataFrame:
+    return text_statistics(docs.drop(*STATISTICS, "d2", "kept")).withColumns(_vector())
 
 
 def judged(rows: DataFrame, estimates: DataFrame, limit: float = FAR) -> DataFrame:
