@@ -9,10 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratiform.llm.packed import bits_for, cut_by_bucket, pack, unpack
-from stratiform.llm.stored import stored
+from stratiform.llm.packed import bits_for, by_bucket, cut_by_bucket, pack, unpack
+from stratiform.llm.stored import prepare, stored
 from stratiform.llm.words import batches_of, grams, mixed, word_hashes
-from stratiform.session import ship_package
 
 ORDER = 2
 #: Size of the filter: so many bits a training token, but never more than the limit (64 MB). Beyond it no n-gram is left
@@ -217,7 +216,7 @@ def train(
     Tokens are counted by Spark; the most frequent ones (a stated number) and the totals go to the workers. n-grams are
     counted bucket by bucket, and each bucket fills its own stretch of the filter, whose size has a fixed limit.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.select("text")
     counts = docs.mapInArrow(_count_tokens("text"), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts = stored(counts, "tokens")
@@ -230,7 +229,7 @@ def train(
     segment = size >> bits
     rows = docs.mapInArrow(_pack_ngrams("text", order, bits), "bucket int, keys binary, counts binary")
     table = np.zeros(size // 8, dtype=np.uint8)
-    for row in rows.groupBy("bucket").applyInArrow(_fill(bits, segment, probes), "bucket int, bits binary").toLocalIterator():
+    for row in by_bucket(rows, _fill(bits, segment, probes), "bucket int, bits binary").toLocalIterator():
         at = row["bucket"] * segment // 8
         table[at : at + segment // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
     return Model(table, bits, probes, keys[place], n[place], tokens, distinct, order, prior), counts
@@ -245,7 +244,7 @@ SCORED = (
 def _score(shared):
     def score(batches):
         model: Model = shared.value
-        for batch in batches_of(batches, size=8 << 20):
+        for batch in batches_of(batches):
             keys, first = sequences(batch.column("text"))
             exact, found = model.exact(keys)
             logs = model.logs(keys, first, exact, found)

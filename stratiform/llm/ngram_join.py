@@ -2,14 +2,16 @@
 
 Shingles are put in one order for all documents: by hash, the frequent ones last. Of two sets that are similar enough,
 the first tokens of both share at least one (lists) or two (subsets); Jaccard similarity fixes how many first tokens that
-takes. Lists of one document are dropped where they arise. Documents are then linked in two rounds. The first compares a
-document with the leader of each of its lists only, so a group of copies costs a row a copy and not one a pair. The
-second lists all pairs whose documents are still in different components, and drops those that share too few first tokens.
-Both rounds check pairs by their whole sets.
+takes. Lists of one document are dropped where they arise. Documents are then linked in rounds. The first ones compare a
+document with a few leaders of each of its lists, so a group of copies costs some rows a copy and not one a pair. The
+last lists all pairs whose documents are still in different components, and drops those that share too few first tokens.
+All rounds check pairs by their whole sets.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,9 +19,8 @@ from pyspark.sql import functions as F
 
 from stratiform.llm.graph import components
 from stratiform.llm.packed import contains
-from stratiform.llm.stored import stored
+from stratiform.llm.stored import prepare, stored
 from stratiform.llm.words import batches_of, grams, mixed, sequence_hash, word_hashes
-from stratiform.session import ship_package
 
 SHINGLE = 5
 #: Similarity as a fraction.
@@ -30,6 +31,8 @@ SUBSET = 2
 FREQUENT, KNOWN = 8, 1 << 20
 #: Largest size at which subsets may be tried, and the cost of meeting a document in a list against writing a row.
 SMALL, MEET = 64, 0.5
+#: Leaders of a list in a round, and the part of all links that a round must add for another one to follow.
+LEADERS, GAIN = 3, 20
 #: Slots of the table of documents that need checking; it spares the others' sets the shuffle.
 SLOTS = 1 << 24
 _TOP = np.uint64(1 << 63)
@@ -250,6 +253,33 @@ def _round(size: Column, part: tuple[int, int]) -> Column:
     return F.floor((size * part[0] + part[1] - 1) / part[1])
 
 
+def _with_leaders(held: DataFrame, limit: int, number: int) -> DataFrame:
+    """Pairs of a document and a leader of its lists that share several of them and aren't linked yet.
+
+    Leaders are the least of a list by a few orders; the orders change with each round but not with the list, so the
+    same few documents lead all lists of a group of copies.
+    """
+    size = F.col("size")
+    near = F.floor(F.log(size) / F.log(F.lit(UNDER / OVER))).alias("near")
+    rows = held.withColumn("near", near)
+    least = [F.min(F.struct(F.xxhash64("doc_id", F.lit(number * LEADERS + i)), "doc_id", "component")) for i in range(LEADERS)]
+    leaders = rows.groupBy("token", "near").agg(F.array(*least).alias("least"), F.count("*").alias("n")).where("n > 1")
+    leaders = leaders.select("token", "near", F.explode(F.array_distinct("least")).alias("l"))
+    leaders = leaders.select("token", "near", F.col("l.doc_id").alias("x"), F.col("l.component").alias("led"))
+    rows = rows.join(leaders, ["token", "near"]).where("doc_id <> x and component <> led")
+    rows = rows.groupBy("x", F.col("doc_id").alias("y")).agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    rows = rows.where((F.col("n") * 20 >= size) | (size <= limit))
+    return rows.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the lists that hold more than one component, with the component."""
+    held = lists.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    held = held.withColumn("component", F.coalesce("component", "doc_id"))
+    open_ = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return held.join(open_.where("low <> high").select("token"), "token")
+
+
 def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """Signatures of all rows: ``doc_id, n_shingles, component_id``, one row for each input row.
 
@@ -260,7 +290,7 @@ def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     read; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(docs.mapInArrow(_sign(n), SIGNED), "signatures")
     key = ["n_shingles", "high", "low"]
@@ -286,20 +316,19 @@ def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     lists = lists.join(ids, "doc_id").select("token", F.col("rep").alias("doc_id"), "size", "last").distinct()
     lists = stored(lists, "lists")
 
-    # First round: each document against the leader of its list, among documents of about its size.
-    near = F.floor(F.log("size") / F.log(F.lit(UNDER / OVER))).alias("near")
-    leaders = lists.groupBy("token", near).agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    rows = lists.withColumn("near", near).join(leaders, ["token", "near"]).where("doc_id <> leader")
-    rows = rows.groupBy(F.col("leader").alias("x"), F.col("doc_id").alias("y")).agg(F.count("*").alias("n"), F.first("size").alias("size"))
-    rows = rows.where((F.col("n") * 20 >= F.col("size")) | (F.col("size") <= limit))
-    links = stored(checked(docs, rows, n).unionAll(same), "links")
-    found = components(links)
-
-    # Second round: all pairs of different components that share enough first tokens.
-    held = lists.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    held = held.withColumn("component", F.coalesce("component", "doc_id"))
-    open_ = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    held = stored(held.join(open_.where("low <> high").select("token"), "token"), "lists")
+    # Rounds of leaders: each document against a few of its list, among documents of about its size. They go on while
+    # one adds markedly to the links.
+    links, total, held = same, 0, lists.withColumn("component", F.col("doc_id"))
+    for number in count():
+        fresh = checked(docs, _with_leaders(held, limit, number), n)
+        links = stored(links.unionAll(fresh).distinct(), "links")
+        found = components(links)
+        held = stored(_open_lists(lists, found), "lists")
+        before, total = total, links.count()
+        if (total - before) * GAIN <= total:
+            break
+
+    # Last round: all pairs of different components that share enough first tokens.
     a, b = held.alias("a"), held.alias("b")
     enough = (F.col("a.size") * UNDER >= F.col("b.size") * OVER) & (F.col("b.size") * UNDER >= F.col("a.size") * OVER)
     rows = a.join(b, "token").where((F.col("a.component") < F.col("b.component")) & enough)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -34,3 +36,24 @@ def contains(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def bits_for(rows: int, per_bucket: int, least: int = 6, most: int = 16) -> int:
     """Bits of a bucket number such that a bucket holds about ``per_bucket`` rows."""
     return int(min(most, max(least, np.ceil(np.log2(max(1, rows / per_bucket))))))
+
+
+def by_bucket(rows: DataFrame, work, schema: str) -> DataFrame:
+    """Applies a function of one table to all rows of each bucket; a task holds one bucket at a time."""
+
+    def run(batches):
+        held, current = [], None
+        for batch in batches:
+            bucket = batch.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if j > i:
+                    if held and bucket[i] != current:
+                        yield from work(pa.Table.from_batches(held)).to_batches()
+                        held = []
+                    current = bucket[i]
+                    held.append(batch.slice(i, j - i))
+        if held:
+            yield from work(pa.Table.from_batches(held)).to_batches()
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from stratiform.llm.words import batches_of
-from stratiform.session import ship_package
+from stratiform.llm.stored import prepare
 
 #: A model file is broadcast, so its size is limited.
 MODEL_BYTES = 64 << 20
@@ -188,7 +188,7 @@ def codec_of(key: str, shared) -> Codec:
 
 
 def _shared(spark: SparkSession, model: str):
-    ship_package(spark)
+    prepare(spark)
     return spark.sparkContext.broadcast(read_model(model))
 
 

@@ -1,12 +1,22 @@
-"""Intermediate tables in the shared folder."""
+"""Sessions for Python tasks over texts, and intermediate tables in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from stratiform.session import new_folder
+from stratiform.session import new_folder, ship_package
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch where the session leaves Spark's default: whole texts are long, and a task holds a batch.
+BATCH_ROWS, SPARK_ROWS = "1000", "10000"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Readies a session for operators that run Python tasks over whole texts."""
+    ship_package(spark)
+    if spark.conf.get(ROWS, SPARK_ROWS) == SPARK_ROWS:
+        spark.conf.set(ROWS, BATCH_ROWS)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

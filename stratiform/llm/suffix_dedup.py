@@ -17,14 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from stratiform.llm.packed import bits_for, contains, cut_by_bucket, pack, unpack
-from stratiform.llm.stored import stored
+from stratiform.llm.packed import bits_for, by_bucket, contains, cut_by_bucket, pack, unpack
+from stratiform.llm.stored import prepare, stored
 from stratiform.llm.words import batches_of, bytes_of, mixed, powers, stretch, sums
-from stratiform.session import ship_package
 
 LENGTH, GRAM = 50, 20
 #: Window starts looked at together, and runs in a bucket.
-PIECE, PER_BUCKET = 1 << 21, 1 << 20
+PIECE, PER_BUCKET = 1 << 20, 1 << 18
 #: Bytes that travel of a gram's hash (besides its bucket) and of a run's.
 GRAM_WIDTH, RUN_WIDTH = 4, 6
 _LOW = np.uint64((1 << 24) - 1)
@@ -42,7 +41,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
         closed = np.zeros(starts + 1, dtype=np.int32)
         np.add.at(closed, np.clip(offsets[1:] - length + 1, 0, starts), 1)
         np.add.at(closed, np.clip(offsets[1:], 0, starts), -1)
-        valid = np.cumsum(closed[:-1]) == 0
+        valid = np.cumsum(closed[:-1], dtype=np.int32) == 0
         for at in range(0, starts, PIECE):
             found.append(_piece(data[at : at + PIECE + length - 1], valid[at : at + PIECE], at, length, gram))
     if not found:
@@ -239,12 +238,12 @@ def _removed(data, offsets, whole, keys, masks, bits, length, gram) -> np.ndarra
                 starts = first[own][run] + np.flatnonzero((mask[place[run]] >> np.arange(length - gram + 1)) & 1)
                 np.add.at(change, starts, 1)
                 np.add.at(change, starts + length, -1)
-    return np.cumsum(change)[: len(data)] > 0
+    return np.cumsum(change, dtype=np.int32)[: len(data)] > 0
 
 
 def _apply(bits: int, length: int, gram: int, names: list[str]):
     def apply(batches):
-        for batch in batches_of(batches, size=8 << 20):
+        for batch in batches_of(batches):
             data, offsets = bytes_of(batch.column("text"))
             lists = (batch.column(x).to_pylist() for x in ("_whole", "_keys", "_masks"))
             removed = _removed(data, offsets, *lists, bits, length, gram)
@@ -291,18 +290,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     if not 8 <= gram <= length <= gram + 62:
         raise ValueError("a gram has 8 bytes or more, and a window at most 62 more than its gram")
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     docs = docs.drop(*ADDED, "_whole", "_keys", "_masks")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = bits_for(2 * size // (length - gram + 2), PER_BUCKET)
-    found = texts.mapInArrow(_emit_runs(bits, length, gram), RUNS).groupBy("bucket").applyInArrow(_match_runs, HITS)
-    found = stored(found, "runs")
+    found = texts.mapInArrow(_emit_runs(bits, length, gram), RUNS)
+    found = stored(by_bucket(found, _match_runs, HITS), "runs")
     open_ = found.where("not whole").groupBy("doc_id").agg(F.collect_list("key").alias("open"))
     windows = texts.join(open_, "doc_id").select("doc_id", "text", "open").mapInArrow(_emit_open(bits, length, gram), OPEN)
-    windows = windows.groupBy("bucket").applyInArrow(_match_windows(length), "doc_id long, key long, mask long")
-    windows = stored(windows, "windows")
+    windows = stored(by_bucket(windows, _match_windows(length), "doc_id long, key long, mask long"), "windows")
     # A document's own hits are at most as many as its runs.
     hits = found.where("whole").select("doc_id", "key", F.lit(None).cast("long").alias("mask")).unionAll(windows)
     pairs = F.collect_list(F.when(F.col("mask").isNotNull(), F.struct("key", "mask")))

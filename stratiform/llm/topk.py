@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratiform.session import checkpointed, ship_package
+from stratiform.llm.stored import prepare
+from stratiform.session import checkpointed
 
 #: Queries held by a task at once, and candidates in a bucket.
 BLOCK, BUCKET = 2048, 1024
@@ -162,7 +163,7 @@ def top_products(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.
     can't reach the query's k-th best product, and prunes the others by length, or by coordinates where the cosine they
     need is high. A task returns k rows a query, and these are merged in two steps.
     """
-    ship_package(vectors.sparkSession)
+    prepare(vectors.sparkSession)
     spark = vectors.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = whole_vectors(vectors, scale)

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from stratiform.llm.words import _FOLD, _IS_GAP, batches_of, bytes_of, stretch, sums
-from stratiform.session import ship_package
+from stratiform.llm.words import FOLD, batches_of, blocks, bytes_of, stretch, sums, word_bounds
+from stratiform.llm.stored import prepare
 
 #: Labelled documents of each class that the model is fitted on, at most.
 SAMPLE = 2500
@@ -18,7 +18,7 @@ SLOTS, SEGMENT = 1 << 20, 64
 FEATURES = 5
 #: A word of a toxic document is labelled toxic when one of its features is in so many toxic documents of the sample,
 #: and so many times as often as in clean ones.
-SUPPORT, RATIO = 8, 20.0
+SUPPORT, RATIO = 4, 20.0
 STEPS, RATE, DECAY = 60, 0.3, 1e-4
 
 
@@ -28,27 +28,20 @@ def word_features(column: pa.Array):
     Features are the word in lower case, its first five and four bytes, its last five, and its length.
     """
     data, offsets = bytes_of(column)
-    if not len(data):
-        none = np.zeros(0, dtype=np.int64)
-        return np.zeros((FEATURES, 0), dtype=np.int32), none, none, np.zeros(len(offsets), dtype=np.int64), data, offsets
-    inside = ~_IS_GAP[data]
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    edges = offsets[:-1][(offsets[:-1] < len(data)) & (np.diff(offsets) > 0)]
-    first[edges] = inside[edges]
-    last[edges[edges > 0] - 1] = inside[edges[edges > 0] - 1]
-    start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
-    running = sums(_FOLD[data])
-    size = (stop - start).astype(np.uint64)
-    keys = (
-        stretch(running, start, stop),
-        stretch(running, start, np.minimum(start + 5, stop)) + np.uint64(1),
-        stretch(running, start, np.minimum(start + 4, stop)) + np.uint64(2),
-        stretch(running, np.maximum(stop - 5, start), stop) + np.uint64(3),
-        np.minimum(size, np.uint64(30)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(4),
-    )
-    slots = np.stack([(key % np.uint64(SLOTS)).astype(np.int32) for key in keys])
+    start, stop = word_bounds(data, offsets)
+    slots = np.empty((FEATURES, len(start)), dtype=np.int32)
+    for words, a, b in blocks(start, stop):
+        running = sums(FOLD[data[a:b]])
+        i, j = start[words] - a, stop[words] - a
+        keys = (
+            stretch(running, i, j),
+            stretch(running, i, np.minimum(i + 5, j)) + np.uint64(1),
+            stretch(running, i, np.minimum(i + 4, j)) + np.uint64(2),
+            stretch(running, np.maximum(j - 5, i), j) + np.uint64(3),
+            np.minimum(j - i, 30).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(4),
+        )
+        for slot, key in zip(slots, keys):
+            slot[words] = (key % np.uint64(SLOTS)).astype(np.int32)
     return slots, start, stop, np.searchsorted(start, offsets), data, offsets
 
 
@@ -239,14 +232,14 @@ def tag_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Every whole text is read, by its words alone; null counts as empty, an empty text gets the score of a text without
     toxic words, spans of neighbouring words are joined. Columns named like the new ones are replaced.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.drop("score", "predicted", "spans")
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias, model.jumps, model.final))
     schema = StructType(list(docs.schema.fields)).add("score", DoubleType()).add("predicted", IntegerType()).add("spans", SPANS)
 
     def tag(batches):
         held = Model(*shared.value)
-        for batch in batches_of(batches, size=8 << 20):
+        for batch in batches_of(batches):
             slots, start, stop, first, data, offsets = word_features(batch.column(text))
             chance = marginals(held.words(slots), first, held.jumps)
             score = held.score(chance, first)

@@ -36,8 +36,8 @@ def n_words(text: Column) -> Column:
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 _IS_GAP = np.zeros(256, dtype=bool)
 _IS_GAP[[32, 9, 10, 11, 12, 13]] = True
 
@@ -92,23 +92,35 @@ def stretch(running: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndar
     return mixed((running[stop] - running[start]) * powers(len(running))[1][start] + (stop - start).astype(np.uint64))
 
 
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of every word and the byte after it; a word ends with its row."""
+    inside = ~_IS_GAP[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    first[heads] = inside[heads]
+    last[heads[1:] - 1] = inside[heads[1:] - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def blocks(start: np.ndarray, stop: np.ndarray, size: int = 1 << 20):
+    """Groups of words, and the stretch of bytes that each covers: about ``size`` bytes, or one longer word."""
+    cuts = np.flatnonzero(np.diff(start // size)) + 1
+    for i, j in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(start)]])):
+        if j > i:
+            yield slice(i, j), start[i], stop[j - 1]
+
+
 def word_hashes(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of a text column in order, and the index of each row's first word (rows + 1 entries)."""
     data, offsets = bytes_of(column)
-    if not len(data):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
-    inside = ~_IS_GAP[data]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    edges = offsets[:-1][(offsets[:-1] < len(data)) & (np.diff(offsets) > 0)]
-    begins[edges] = inside[edges]
-    start = np.flatnonzero(begins)
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    ends[edges[edges > 0] - 1] = inside[edges[edges > 0] - 1]
-    stop = np.flatnonzero(ends) + 1
-    running = sums(_FOLD[data] if fold else data)
-    return stretch(running, start, stop), np.searchsorted(start, offsets)
+    start, stop = word_bounds(data, offsets)
+    out = np.empty(len(start), dtype=np.uint64)
+    for words_, a, b in blocks(start, stop):
+        running = sums(FOLD[data[a:b]] if fold else data[a:b])
+        out[words_] = stretch(running, start[words_] - a, stop[words_] - a)
+    return out, np.searchsorted(start, offsets)
 
 
 _STEP = mixed(np.arange(101, 117, dtype=np.uint64)) | _U(1)
@@ -132,7 +144,7 @@ def sequence_hash(keys: np.ndarray) -> np.uint64:
     return mixed(total)[0]
 
 
-def batches_of(reader, rows: int = 1 << 30, size: int = 24 << 20):
+def batches_of(reader, rows: int = 1 << 30, size: int = 4 << 20):
     """Cuts Arrow batches so that none holds much more text than ``size``, though a single long row stays whole."""
     for batch in reader:
         held = batch.nbytes
