@@ -66,7 +66,8 @@ def _piece(data: np.ndarray, valid: np.ndarray, at: int, length: int, gram: int)
     first[1:] &= differs | ~valid[:-1]
     last[:-1] &= differs | ~valid[1:]
     first, last = np.flatnonzero(first), np.flatnonzero(last)
-    return grams[place[first]], stretch(running, first, last + length), first + at, last + at
+    # Least hashes are small ones, so they are mixed once more to spread over the buckets.
+    return mixed(grams[place[first]] ^ np.uint64(1)), stretch(running, first, last + length), first + at, last + at
 
 
 def _short(grams: np.ndarray, texts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +86,12 @@ def _bucket_rows(order_keys: np.ndarray, bits: int):
     return [(b, order[i:j]) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
 
 
+def _once(texts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One of the equal runs of each row: a text may repeat itself many times."""
+    parts = [i + np.unique(texts[i:j], return_index=True)[1] for i, j in zip(at[:-1].tolist(), at[1:].tolist()) if j > i]
+    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.int64)
+
+
 def _emit_runs(bits: int, length: int, gram: int):
     """First pass: the runs of each batch, one row a bucket."""
 
@@ -93,6 +100,8 @@ def _emit_runs(bits: int, length: int, gram: int):
             data, offsets = bytes_of(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             grams, texts, first, _ = runs(data, offsets, length, gram)
+            once = _once(texts, np.searchsorted(first, offsets))
+            grams, texts, first = grams[once], texts[once], first[once]
             row = (np.searchsorted(offsets, first, side="right") - 1).astype(np.uint64)
             short, text = _short(grams, texts, bits)
             rows = _bucket_rows(grams, bits)
@@ -162,11 +171,11 @@ def _emit_open(bits: int, length: int, gram: int):
             grams, texts, first, last = runs(data, offsets, length, gram)
             key = _key(*_short(grams, texts, bits))
             at = np.searchsorted(first, offsets)
-            use = [
-                at[i] + np.flatnonzero(contains(np.sort(np.array(x, dtype=np.int64).view(np.uint64)), key[at[i] : at[i + 1]]))
-                for i, x in enumerate(wanted)
-                if x
-            ]
+            use = []
+            for i, x in enumerate(wanted):
+                if x:
+                    own = at[i] + np.unique(key[at[i] : at[i + 1]], return_index=True)[1]
+                    use.append(own[contains(np.sort(np.array(x, dtype=np.int64).view(np.uint64)), key[own])])
             use = np.concatenate(use) if use else np.zeros(0, dtype=np.int64)
             row = np.searchsorted(offsets, first[use], side="right") - 1
             rows = []
