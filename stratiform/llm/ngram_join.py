@@ -31,8 +31,9 @@ SUBSET = 2
 FREQUENT, KNOWN = 8, 1 << 20
 #: Largest size at which subsets may be tried, and the cost of meeting a document in a list against writing a row.
 SMALL, MEET = 64, 0.5
-#: Leaders of a list in a round, and the part of all links that a round must add for another one to follow.
-LEADERS, GAIN = 3, 20
+#: Leaders of a list in a round, leaders that a document tries, and the part of all links that a round must add for
+#: another one to follow.
+LEADERS, TRIED, GAIN = 3, 2, 20
 #: Slots of the table of documents that need checking; it spares the others' sets the shuffle.
 SLOTS = 1 << 24
 _TOP = np.uint64(1 << 63)
@@ -72,33 +73,53 @@ def _first_of_copies(ids: list, sets: list[np.ndarray], digests: list) -> list[i
     return list(best.values())
 
 
-SIGNED = "doc_id long, n_shingles long, high long, low long, tokens array<struct<token: long, n: long>>, met double, rows long"
+SIGNED = "doc_id long, n_shingles long, high long, low long, tokens array<struct<token: long, n: long>>, met double"
+
+
+#: Tokens that a task counts together, and the size that marks a row of counts among the signatures.
+TOGETHER, COUNTS = 1 << 21, -1
 
 
 def _sign(n: int):
-    """Size and digest of every row; the first row of a batch also carries the batch's repeated tokens."""
+    """Size and digest of every row, and rows of the tokens that a task has met repeatedly, in bounded groups."""
+
+    def counted(held):
+        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        met = float((counts.astype(float) ** 2).sum()) / max(1, counts.sum())
+        more = pa.StructArray.from_arrays(
+            [pa.array(tokens[counts > 1].view(np.int64)), pa.array(counts[counts > 1].astype(np.int64))], names=["token", "n"]
+        )
+        more = pa.ListArray.from_arrays(pa.array([0, len(more)], pa.int32()), more)
+        return row_of([None], [COUNTS], [0], [0], more, [met])
+
+    def row_of(ids, sizes, high, low, tokens, met):
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids, pa.int64()),
+                pa.array(sizes, pa.int64()),
+                pa.array(high, pa.int64()),
+                pa.array(low, pa.int64()),
+                tokens,
+                pa.array(met, pa.float64()),
+            ],
+            names=["doc_id", "n_shingles", "high", "low", "tokens", "met"],
+        )
 
     def sign(batches):
+        held, seen = [], 0
         for batch in batches_of(batches):
             ids, sets = batch.column("doc_id").to_pylist(), whole_sets(batch.column("text"), n)
             digests = [_digest(x) for x in sets]
-            chosen = _first_of_copies(ids, sets, digests)
-            tokens, counts = np.unique(np.concatenate([sets[i] for i in chosen] or [np.zeros(0, np.uint64)]), return_counts=True)
-            met = float((counts.astype(float) ** 2).sum()) / max(1, counts.sum())
-            more = [{"token": int(t), "n": int(c)} for t, c in zip(tokens[counts > 1], counts[counts > 1])]
-            size = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([d[0] for d in digests], pa.int64()),
-                    pa.array([d[1] for d in digests], pa.int64()),
-                    pa.array([more] + [None] * (size - 1), pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))),
-                    pa.array([met] + [None] * (size - 1), pa.float64()),
-                    pa.array([len(chosen)] + [None] * (size - 1), pa.int64()),
-                ],
-                names=["doc_id", "n_shingles", "high", "low", "tokens", "met", "rows"],
-            )
+            new = [sets[i] for i in _first_of_copies(ids, sets, digests)]
+            held, seen = held + new, seen + sum(map(len, new))
+            none = pa.nulls(len(ids), pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())])))
+            high, low = [d[0] for d in digests], [d[1] for d in digests]
+            yield row_of(ids, [len(x) for x in sets], high, low, none, [None] * len(ids))
+            if seen > TOGETHER:
+                yield counted(held)
+                held, seen = [], 0
+        if held:
+            yield counted(held)
 
     return sign
 
@@ -269,6 +290,9 @@ def _with_leaders(held: DataFrame, limit: int, number: int) -> DataFrame:
     rows = rows.join(leaders, ["token", "near"]).where("doc_id <> x and component <> led")
     rows = rows.groupBy("x", F.col("doc_id").alias("y")).agg(F.count("*").alias("n"), F.first("size").alias("size"))
     rows = rows.where((F.col("n") * 20 >= size) | (size <= limit))
+    # A document tries the leaders that share most with it; the last round misses none of the others.
+    best = F.slice(F.sort_array(F.collect_list(F.struct("n", "x")), asc=False), 1, TRIED)
+    rows = rows.groupBy("y").agg(best.alias("best")).select("y", F.explode("best.x").alias("x"))
     return rows.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
@@ -293,15 +317,16 @@ def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(docs.mapInArrow(_sign(n), SIGNED), "signatures")
+    counts, signed = signed.where(F.col("n_shingles") == COUNTS), signed.where(F.col("n_shingles") != COUNTS)
     key = ["n_shingles", "high", "low"]
     classes = signed.where("doc_id is not null and n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     classes = stored(classes, "classes")
 
-    frequent = signed.select(F.inline("tokens")).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    frequent = counts.select(F.inline("tokens")).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     frequent = frequent.orderBy(F.col("n").desc(), "token").limit(KNOWN).toArrow().column("token").to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(frequent.astype(np.uint64)))
     sizes = classes.groupBy(F.least("n_shingles", F.lit(4 * SMALL)).alias("size")).agg(F.count("*").alias("n")).collect()
-    met = signed.agg(F.avg("met"), F.count("met")).first()
+    met = counts.agg(F.avg("met"), F.count("met")).first()
     mean = 1 + max(0.0, (met[0] or 1.0) - 1) * (met[1] or 1)
     limit = boundary({row["size"]: row["n"] for row in sizes}, mean)
 
