@@ -33,7 +33,7 @@ FREQUENT, KNOWN = 8, 1 << 20
 SMALL, MEET = 64, 0.5
 #: Leaders of a list in a round, leaders that a document tries, and the part of all links that a round must add for
 #: another one to follow.
-LEADERS, TRIED, GAIN = 3, 2, 20
+LEADERS, TRIED, GAIN = 3, 6, 8
 #: Slots of the table of documents that need checking; it spares the others' sets the shuffle.
 SLOTS = 1 << 24
 _TOP = np.uint64(1 << 63)
