@@ -141,7 +141,7 @@ class VersionedDataset:
         number = commits[-1].version + 1 if commits else 1
         before = head if mode == "append" else None
         schema = _widen(before.schema, df.schema) if before else df.schema
-        df.write.mode("overwrite").parquet(self._part(number))
+        df.write.mode("error").parquet(self._part(number))  # a late writer never replaces a part
         written = self.spark.read.schema(df.schema).parquet(self._part(number)).count()  # from the footers
         return self._append(
             Commit(

@@ -149,7 +149,7 @@ def gold(source: DataFrame, specs: Sequence[GoldSpec], export_folder: str | None
     for spec in specs:
         written[spec.table] = save(spec.build(source), spec.table)
         if export_folder and spec.csv:
-            write_csv(written[spec.table], f"{export_folder}/{spec.csv}", sep=",", single_file=True)
+            write_csv(written[spec.table], f"{export_folder}/{spec.csv}", sep=",")
     return layer_counts(written)
 
 

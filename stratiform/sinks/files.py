@@ -50,8 +50,8 @@ def write_csv(
 
 
 def write_report(df: DataFrame, path: str) -> bool:
-    """A comma-separated report; nothing is written when it has no row."""
+    """A comma-separated report of any length, in as many files as it has partitions; nothing without a row."""
     if df.isEmpty():
         return False
-    write_csv(df, path, sep=",", single_file=True)
+    write_csv(df, path, sep=",")
     return True

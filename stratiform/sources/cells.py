@@ -74,16 +74,16 @@ def error_report(rows: DataFrame) -> DataFrame:
 def header_rows(preview: DataFrame, token: str | None = "matricule", depth: int = 20) -> DataFrame:
     """``(path, sheet, sheet_no, header_row)``: first row of the top ``depth`` with the token.
 
-    Without a hit the header is row 1, or row 2 on the second sheet.
+    Without a hit the header is the first row with a cell from row 1 on, or from row 2 on the second sheet; a sheet
+    with rows above that only takes its first one.
     """
     top = preview.filter(F.col("error").isNull() & (F.col("row_no") <= depth))
     default = F.when(F.col("sheet_no") == 2, 2).otherwise(1).cast("long") if token else F.lit(1).cast("long")
     hit = F.exists("cells", lambda c: F.lower(c).contains(token)) if token else F.lit(False)
-    return (
-        top.groupBy("path", "sheet", "sheet_no")
-        .agg(F.min(F.when(hit, F.col("row_no"))).alias("header_row"))
-        .withColumn("header_row", F.coalesce("header_row", default))
-    )
+    filled = F.exists("cells", lambda c: c.isNotNull())
+    first = lambda rule: F.min(F.when(rule, F.col("row_no")))
+    chosen = F.coalesce(first(hit), first(filled & (F.col("row_no") >= default)), first(filled))
+    return top.groupBy("path", "sheet", "sheet_no").agg(chosen.alias("header_row")).where("header_row is not null")
 
 
 def named_headers(preview: DataFrame, style: str, token: str | None, depth: int = 20, start: int = 1) -> DataFrame:

@@ -244,3 +244,24 @@ def test_incremental_ingestion_takes_each_file_once(spark, tmp_path):
     table = ingest_new_files(spark, source, target, state, schema, **options)
     assert rows_of(table.groupBy("PERIODE").count()) == [("2015_01", 3), ("2015_02", 4), ("2015_03", 5)]
     assert dict(table.dtypes)["id"] == "string"
+
+
+def test_header_falls_back_to_a_filled_row(spark):
+    from stratiform.sources.cells import header_rows
+
+    rows = [
+        ("blank_first", 1, 1, [None, None]),
+        ("blank_first", 1, 3, ["a", "b"]),
+        ("blank_first", 1, 4, ["1", "2"]),
+        ("no_first", 1, 5, ["x", None]),
+        ("second", 2, 1, ["title", None]),
+        ("second", 2, 2, ["code", "name"]),
+        ("only_title", 2, 1, ["title", None]),
+        ("token", 1, 7, ["Matricule", "n"]),
+    ]
+    preview = spark.createDataFrame(
+        [(path, "s", sheet, row, cells, None) for path, sheet, row, cells in rows],
+        "path string, sheet string, sheet_no int, row_no long, cells array<string>, error string",
+    )
+    found = {r["path"]: r["header_row"] for r in header_rows(preview).collect()}
+    assert found == {"blank_first": 3, "no_first": 5, "second": 2, "only_title": 1, "token": 7}
