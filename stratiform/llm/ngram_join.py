@@ -2,16 +2,14 @@
 
 Shingles are put in one order for all documents: by hash, the frequent ones last. Of two sets that are similar enough,
 the first tokens of both share at least one (lists) or two (subsets); Jaccard similarity fixes how many first tokens that
-takes. Lists of one document are dropped where they arise. Documents are then linked in rounds. The first ones compare a
-document with a few leaders of each of its lists, so a group of copies costs some rows a copy and not one a pair. The
-last lists all pairs whose documents are still in different components, and drops those that share too few first tokens.
-All rounds check pairs by their whole sets.
+takes. Lists of one document are dropped where they arise. Documents are then linked in rounds. While the lists hold many
+pairs, a round compares a document with a few leaders of each of its lists, so a group of copies costs some rows a copy
+and not one a pair. The last round lists all pairs whose documents are still in different components, and drops those
+that share too few first tokens. All rounds check pairs by their whole sets.
 """
 
 from __future__ import annotations
 
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,9 +29,9 @@ SUBSET = 2
 FREQUENT, KNOWN = 8, 1 << 20
 #: Largest size at which subsets may be tried, and the cost of meeting a document in a list against writing a row.
 SMALL, MEET = 64, 0.5
-#: Leaders of a list in a round, leaders that a document tries, and the part of all links that a round must add for
-#: another one to follow.
-LEADERS, TRIED, GAIN = 3, 6, 8
+#: Leaders of a list in a round, and leaders that a document tries. Another round follows while the lists hold more than
+#: so many open pairs a row, and the round before added more than one in so many links.
+LEADERS, TRIED, MANY, GAIN = 3, 6, 2, 8
 #: Slots of the table of documents that need checking; it spares the others' sets the shuffle.
 SLOTS = 1 << 24
 _TOP = np.uint64(1 << 63)
@@ -296,12 +294,37 @@ def _with_leaders(held: DataFrame, limit: int, number: int) -> DataFrame:
     return rows.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def _open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of the lists that hold more than one component, with the component."""
+def _with_components(lists: DataFrame, found: DataFrame) -> DataFrame:
     held = lists.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    held = held.withColumn("component", F.coalesce("component", "doc_id"))
-    open_ = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return held.join(open_.where("low <> high").select("token"), "token")
+    return held.withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def _open_lists(held: DataFrame) -> tuple[DataFrame, bool]:
+    """Rows of the lists that hold more than one component, and whether they hold many pairs that could be linked."""
+    parts = held.groupBy("token", "component").agg(F.count("*").cast("double").alias("n"))
+    lists = parts.groupBy("token").agg(F.count("*").alias("parts"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    lists = lists.where("parts > 1").select("token", ((F.col("rows") - F.col("same") / F.col("rows")) / 2).alias("pairs"))
+    out = stored(held.drop("pairs").join(lists, "token"), "open")
+    rows, pairs = out.agg(F.count("*"), F.sum("pairs")).first()
+    return out, (pairs or 0) > MANY * rows
+
+
+def _between(held: DataFrame) -> DataFrame:
+    """Pairs of documents of a list that differ in component and not too much in size, with the lists they share.
+
+    Components meet first and their documents then, so those of a large component are never set against each other.
+    """
+    groups = held.groupBy("token", "component").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    side = lambda df, name, *keep: df.select("token", *[F.col(c).alias(f"{name}_{c}") for c in keep])
+    near = lambda large, small: F.col(large) * UNDER >= F.col(small) * OVER
+    met = side(groups, "a", "component", "least", "most").join(side(groups, "b", "component", "least", "most"), "token")
+    met = met.where((F.col("a_component") < F.col("b_component")) & near("a_most", "b_least") & near("b_most", "a_least"))
+    met = met.select("token", "a_component", "b_component")
+    row = ["component", "doc_id", "size", "last"]
+    rows = met.join(side(held, "a", *row), ["token", "a_component"]).join(side(held, "b", *row), ["token", "b_component"])
+    rows = rows.where(near("a_size", "b_size") & near("b_size", "a_size"))
+    values = [F.first(c).alias(c) for c in ("a_size", "a_last", "b_size", "b_last")]
+    return rows.groupBy(F.col("a_doc_id").alias("x"), F.col("b_doc_id").alias("y")).agg(F.count("*").alias("n"), *values)
 
 
 def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -341,28 +364,17 @@ def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     lists = lists.join(ids, "doc_id").select("token", F.col("rep").alias("doc_id"), "size", "last").distinct()
     lists = stored(lists, "lists")
 
-    # Rounds of leaders: each document against a few of its list, among documents of about its size. They go on while
-    # one adds markedly to the links.
-    links, total, held = same, 0, lists.withColumn("component", F.col("doc_id"))
-    for number in count():
-        fresh = checked(docs, _with_leaders(held, limit, number), n)
+    # Rounds of leaders: each document against a few of its list, among documents of about its size.
+    links, number = stored(same, "same"), 0
+    held, many = _open_lists(lists.withColumn("component", F.col("doc_id")))
+    while many:
+        fresh = stored(checked(docs, _with_leaders(held, limit, number), n), "fresh")
         links = stored(links.unionAll(fresh).distinct(), "links")
-        found = components(links)
-        held = stored(_open_lists(lists, found), "lists")
-        before, total = total, links.count()
-        if (total - before) * GAIN <= total:
-            break
+        held, many = _open_lists(_with_components(lists, components(links)))
+        many, number = many and fresh.count() * GAIN > links.count(), number + 1
 
     # Last round: all pairs of different components that share enough first tokens.
-    a, b = held.alias("a"), held.alias("b")
-    enough = (F.col("a.size") * UNDER >= F.col("b.size") * OVER) & (F.col("b.size") * UNDER >= F.col("a.size") * OVER)
-    rows = a.join(b, "token").where((F.col("a.component") < F.col("b.component")) & enough)
-    value = lambda side, c: F.first(f"{side}.{c}").alias(f"{side}_{c}")
-    rows = rows.groupBy(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).agg(
-        F.count("*").alias("n"), value("a", "size"), value("a", "last"), value("b", "size"), value("b", "last")
-    )
-    rows = rows.where(_may_link(limit))
-    links = stored(checked(docs, rows, n).unionAll(links), "links")
+    links = stored(checked(docs, _between(held).where(_may_link(limit)), n).unionAll(links), "links")
     found = components(links)
 
     reps = classes.join(found, classes["rep"] == found["node"], "left")

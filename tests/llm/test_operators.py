@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -97,6 +98,39 @@ def test_links_of_many_near_copies(spark):
     assert got == low
 
 
+@pytest.mark.parametrize("many", [-1.0, ngram_join.MANY])
+def test_links_by_all_pairs(spark, monkeypatch, many):
+    """Groups of edited copies of many sizes, with passages that groups share, against every pair; with and without leaders."""
+    monkeypatch.setattr(ngram_join, "MANY", many)
+    draw = random.Random(7)
+    shared = [[f"s{p}x{k}" for k in range(30)] for p in range(3)]
+    texts = []
+    for group in range(40):
+        base = [f"g{group}w{draw.randrange(60)}" for _ in range(draw.randrange(4, 90))] + (shared[group % 3] if group % 2 else [])
+        for _ in range(draw.randrange(1, 9)):
+            copy = list(base)
+            for _ in range(draw.randrange(0, 4)):
+                copy[draw.randrange(len(copy))] = f"n{draw.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    draw.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link_documents(rows).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 def test_repeated_strings(docs):
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.where("doc_id is not null").collect()), key=lambda r: r[0])
     first, expected = {}, []
