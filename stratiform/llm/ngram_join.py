@@ -145,7 +145,8 @@ def boundary(sizes: dict[int, int], met: float) -> int:
     return min(range(SMALL + 1), key=lambda limit: (cost(limit), limit))
 
 
-LISTED = "token long, doc_id long, size int, last int"
+#: ``reach`` is the most that a set can share with another one if the key holds the first tokens that they share.
+LISTED = "token long, doc_id long, size int, last int, reach int"
 
 
 def _list(n: int, limit: int, frequent):
@@ -156,7 +157,7 @@ def _list(n: int, limit: int, frequent):
         for batch in batches_of(batches):
             ids, sets = batch.column("doc_id").to_pylist(), whole_sets(batch.column("text"), n)
             digests = [_digest(x) for x in sets]
-            keys, docs, sizes, lasts = [], [], [], []
+            keys, docs, sizes, lasts, reach = [], [], [], [], []
             for i in _first_of_copies(ids, sets, digests):
                 tokens, size = sets[i], len(sets[i])
                 often = contains(known, tokens)
@@ -165,10 +166,12 @@ def _list(n: int, limit: int, frequent):
                 parts = []
                 if size * UNDER >= limit * OVER or size < SUBSET:
                     parts.append(ordered[:first])
+                    reach.append(size - np.arange(first))
                 if SUBSET <= size <= limit:
                     head = ordered[: first + 1]
                     a, b = np.triu_indices(len(head), 1)
                     parts.append(mixed(head[a] * np.uint64(0x9E3779B97F4A7C15) + head[b]))
+                    reach.append(size - b + SUBSET - 1)
                 for part in parts:
                     keys.append(part)
                     docs.append(np.full(len(part), ids[i], dtype=np.int64))
@@ -181,8 +184,9 @@ def _list(n: int, limit: int, frequent):
                     pa.array(join(docs, np.int64)),
                     pa.array(join(sizes, np.int32)),
                     pa.array(join(lasts, np.int32)),
+                    pa.array(join(reach, np.int32).astype(np.int32)),
                 ],
-                names=["token", "doc_id", "size", "last"],
+                names=["token", "doc_id", "size", "last", "reach"],
             )
 
     return emit
@@ -309,20 +313,32 @@ def _open_lists(held: DataFrame) -> tuple[DataFrame, bool]:
     return out, (pairs or 0) > MANY * rows
 
 
-def _between(held: DataFrame) -> DataFrame:
+def _between(held: DataFrame, limit: int) -> DataFrame:
     """Pairs of documents of a list that differ in component and not too much in size, with the lists they share.
 
     Components meet first and their documents then, so those of a large component are never set against each other.
+    Small sets, which aren't judged by the number of lists they share, meet in lists early enough in both only: those of
+    the first tokens that a similar pair shares are.
     """
-    groups = held.groupBy("token", "component").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    least, most = F.min("size").alias("least"), F.max("size").alias("most")
+    groups = held.groupBy("token", "component").agg(least, most, F.max("reach").alias("far"))
     side = lambda df, name, *keep: df.select("token", *[F.col(c).alias(f"{name}_{c}") for c in keep])
     near = lambda large, small: F.col(large) * UNDER >= F.col(small) * OVER
-    met = side(groups, "a", "component", "least", "most").join(side(groups, "b", "component", "least", "most"), "token")
+
+    def early(a, b):
+        reach, low, high = ([F.col(f"a_{x}"), F.col(f"b_{y}")] for x, y in zip(a, b))
+        enough = F.least(*reach) * (OVER + UNDER) >= (low[0] + low[1]) * OVER
+        return enough | (F.greatest(*high) > limit)
+
+    group, row = ("far", "least", "most"), ("reach", "size", "size")
+    met = side(groups, "a", "component", *group).join(side(groups, "b", "component", *group), "token")
     met = met.where((F.col("a_component") < F.col("b_component")) & near("a_most", "b_least") & near("b_most", "a_least"))
-    met = met.select("token", "a_component", "b_component")
-    row = ["component", "doc_id", "size", "last"]
-    rows = met.join(side(held, "a", *row), ["token", "a_component"]).join(side(held, "b", *row), ["token", "b_component"])
-    rows = rows.where(near("a_size", "b_size") & near("b_size", "a_size"))
+    met = met.where(early(group, group)).select("token", "a_component", *(f"b_{c}" for c in ("component", *group)))
+    kept = ["component", "doc_id", "size", "last", "reach"]
+    rows = met.join(side(held, "a", *kept), ["token", "a_component"])
+    rows = rows.where(near("a_size", "b_least") & near("b_most", "a_size") & early(row, group)).drop(*(f"b_{c}" for c in group))
+    rows = rows.join(side(held, "b", *kept), ["token", "b_component"])
+    rows = rows.where(near("a_size", "b_size") & near("b_size", "a_size") & early(row, row))
     values = [F.first(c).alias(c) for c in ("a_size", "a_last", "b_size", "b_last")]
     return rows.groupBy(F.col("a_doc_id").alias("x"), F.col("b_doc_id").alias("y")).agg(F.count("*").alias("n"), *values)
 
@@ -361,7 +377,7 @@ def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     several = ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     same = ids.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     same = same.join(several.select(F.col("doc_id").alias("a")), "a", "left_semi").unionAll(several.select("a", "b"))
-    lists = lists.join(ids, "doc_id").select("token", F.col("rep").alias("doc_id"), "size", "last").distinct()
+    lists = lists.join(ids, "doc_id").select("token", F.col("rep").alias("doc_id"), "size", "last", "reach").distinct()
     lists = stored(lists, "lists")
 
     # Rounds of leaders: each document against a few of its list, among documents of about its size.
@@ -374,7 +390,7 @@ def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
         many, number = many and fresh.count() * GAIN > links.count(), number + 1
 
     # Last round: all pairs of different components that share enough first tokens.
-    links = stored(checked(docs, _between(held).where(_may_link(limit)), n).unionAll(links), "links")
+    links = stored(checked(docs, _between(held, limit).where(_may_link(limit)), n).unionAll(links), "links")
     found = components(links)
 
     reps = classes.join(found, classes["rep"] == found["node"], "left")
