@@ -33,7 +33,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     """Runs of windows with the same least gram: hash of the gram, hash of the text, first and last start.
 
     A window is ``length`` bytes inside one row. Of equal least grams the first counts, so that equal windows have equal
-    ones wherever they stand. Long data are cut in pieces; a run that a cut divides is two runs.
+    ones wherever they stand. Long data are looked at in pieces, each with the window before it and as many after it as a
+    run can go on for, so that a run is the same wherever the pieces and batches are cut.
     """
     starts = len(data) - length + 1
     found = []
@@ -43,7 +44,11 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
         np.add.at(closed, np.clip(offsets[1:], 0, starts), -1)
         valid = np.cumsum(closed[:-1], dtype=np.int32) == 0
         for at in range(0, starts, PIECE):
-            found.append(_piece(data[at : at + PIECE + length - 1], valid[at : at + PIECE], at, length, gram))
+            # All windows of a run hold its gram, so it has at most length - gram + 1 of them.
+            low, high = max(at - 1, 0), min(at + PIECE + length - gram, starts)
+            piece = _piece(data[low : high + length - 1], valid[low:high], low, length, gram)
+            own = (piece[2] >= at) & (piece[2] < at + PIECE)
+            found.append(tuple(x[own] for x in piece))
     if not found:
         none = np.zeros(0, dtype=np.uint64)
         return none, none, none.astype(np.int64), none.astype(np.int64)

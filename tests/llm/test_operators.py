@@ -311,3 +311,48 @@ def test_empty_tables(spark):
     assert mixing.mix_table(empty).count() == 0
     assert bloom_lm.score_texts(empty, F.col("doc_id") == 1).count() == 0
     assert topk.top_products(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 2 == 0).count() == 0
+
+
+def uncovered(rows, length):
+    """Bytes of each row that no ``length``-byte string of a document with a smaller id covers."""
+    first = {}
+    for key, text in rows:
+        data = text.encode()
+        for i in range(len(data) - length + 1):
+            first[data[i : i + length]] = min(key, first.get(data[i : i + length], key))
+    out = []
+    for key, text in rows:
+        data = text.encode()
+        gone = set()
+        for i in range(len(data) - length + 1):
+            if first[data[i : i + length]] < key:
+                gone.update(range(i, i + length))
+        out.append((key, bytes(b for i, b in enumerate(data) if i not in gone).decode()))
+    return out
+
+
+@pytest.mark.parametrize("piece", [97, 300])
+def test_repeats_across_piece_cuts(spark, monkeypatch, piece):
+    """Runs don't depend on where data are cut, so every pass finds them whatever rows it holds together."""
+    import numpy as np
+
+    draw = random.Random(piece)
+    letters = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    passages = [letters(draw.randrange(50, 130)) for _ in range(12)]
+    rows = []
+    for key in range(60):
+        parts = [letters(draw.randrange(200))] + [draw.choice(passages) + letters(draw.randrange(90)) for _ in range(3)]
+        rows.append((key, "".join(parts)))
+    data = np.frombuffer("".join(t for _, t in rows).encode(), dtype=np.uint8)
+    offsets = np.cumsum([0, *(len(t) for _, t in rows)])
+    whole = suffix_dedup.runs(data, offsets)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    assert all((a == b).all() for a, b in zip(suffix_dedup.runs(data, offsets), whole, strict=True))
+
+    # The first two passes carry the short pieces to their workers; the last cuts as ever, and must find the same runs.
+    found = suffix_dedup.runs
+    monkeypatch.setattr(suffix_dedup, "runs", lambda *given: found(*given))
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+        got = suffix_dedup.remove_repeats(docs).select("doc_id", "text").collect()
+        assert sorted((r[0], r[1]) for r in got) == uncovered(rows, suffix_dedup.LENGTH)
