@@ -1,4 +1,8 @@
-"""Language-model scoring from a log-frequency Bloom filter of quantised n-gram counts, broadcast to the workers."""
+"""Language-model scoring from a log-frequency Bloom filter of quantised n-gram counts.
+
+The filter grows with the training tokens and is never in one place: its segments are made bucket by bucket, and the task
+that fills a segment answers all groups of documents that ask for its n-grams.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +19,10 @@ from stratiform.llm.stored import prepare, stored
 from stratiform.llm.words import batches_of, grams, mixed, word_hashes
 
 ORDER = 2
-#: Size of the filter: so many bits a training token, but never more than the limit (64 MB). Beyond it no n-gram is left
-#: out; the filter's share of false hits grows instead.
-BITS_PER_TOKEN, MAX_BITS, MIN_BITS = 12, 1 << 29, 1 << 16
+#: Size of the filter: so many bits a training token and order, and its least size.
+BITS_PER_TOKEN, MIN_BITS = 12, 1 << 16
+#: Bytes of text of a group of documents that asks together, and of a token, about.
+GROUP_BYTES, TOKEN_BYTES = 4 << 20, 6
 #: Counts are quantised to powers of this base; words with exact counts on each worker.
 BASE, HEAD = 1.5, 1 << 19
 #: The lower order weighs as much as so many occurrences of the context, plus this multiple of the context's count.
@@ -62,13 +68,17 @@ def count_at(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (low + np.maximum(low, high)) / 2, 0.0)
 
 
-def filter_shape(tokens: int, order: int, bits_per_token: int = BITS_PER_TOKEN, max_bits: int = MAX_BITS):
-    """Bits of the filter, probes of a key, and bits of a bucket number."""
+def filter_shape(tokens: int, order: int, read: int = 0, bits_per_token: int = BITS_PER_TOKEN):
+    """Bits of the filter, probes of a key, and bits of a bucket number.
+
+    ``read`` is the number of all tokens, held out or not. Buckets grow in number with the n-grams that are entered or asked
+    for, so that a segment and what a task holds stay small.
+    """
     entries = max(1, tokens * order)
-    size = 1 << int(np.ceil(np.log2(max(MIN_BITS, min(max_bits, entries * bits_per_token)))))
-    size = min(size, max_bits)
+    bits = bits_for(max(entries, read * order), PER_BUCKET)
+    size = 1 << int(np.ceil(np.log2(max(MIN_BITS, 1 << (bits + 10), entries * bits_per_token))))
     probes = int(min(8, max(1, round(math.log(2) * size / entries))))
-    return size, probes, bits_for(entries, PER_BUCKET)
+    return size, probes, bits
 
 
 def _places(keys: np.ndarray, level: int, probes: int, segment: int) -> list[np.ndarray]:
@@ -92,18 +102,15 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, segment: int, probes: in
     return np.packbits(table, bitorder="little")
 
 
-def probe(table: np.ndarray, keys: np.ndarray, bits: int, probes: int, limit: np.ndarray | None = None) -> np.ndarray:
-    """Level of each key: it is asked for with 1, 2, and so on until the first miss."""
-    segment = len(table) * 8 >> bits
-    short = shortened(keys, bits)
-    base = (keys >> np.uint64(64 - bits)).astype(np.int64) * segment if bits else np.zeros(len(keys), np.int64)
+def probe(table: np.ndarray, keys: np.ndarray, probes: int) -> np.ndarray:
+    """Level of each key of a bucket, as they travel: it is asked for with 1, 2, and so on until the first miss."""
+    segment = len(table) * 8
     level = np.zeros(len(keys), dtype=np.int64)
-    open_ = np.arange(len(keys)) if limit is None else np.flatnonzero(limit > 0)
+    open_ = np.arange(len(keys))
     asked = 1
     while len(open_) and asked < 200:
         hit = np.ones(len(open_), dtype=bool)
-        for place in _places(short[open_], asked, probes, segment):
-            at = base[open_] + place
+        for at in _places(keys[open_], asked, probes, segment):
             hit &= (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         open_ = open_[hit]
         level[open_] = asked
@@ -111,12 +118,22 @@ def probe(table: np.ndarray, keys: np.ndarray, bits: int, probes: int, limit: np
     return level
 
 
+def asked_ngrams(keys: np.ndarray, first: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of all orders as they travel, in order, and the place of every token's among them, a row an order."""
+    every = np.concatenate([ngram_keys(keys, first, n) for n in range(1, order + 1)])
+    asked, place = np.unique(shortened(every, bits), return_inverse=True)
+    return asked, place.reshape(order, -1)
+
+
 class Model:
-    """What a worker needs: filter, exact counts of the most frequent words, and the corpus totals."""
+    """What a worker needs besides the filter's answers: exact counts of the most frequent words, and the corpus totals."""
 
-    def __init__(self, table, bits, probes, head, head_counts, tokens, distinct, order=ORDER, prior=PRIOR):
-        self.table, self.bits, self.probes, self.order, self.prior = table, bits, probes, order, prior
+    def __init__(self, size, bits, probes, head, head_counts, tokens, distinct, order=ORDER, prior=PRIOR):
+        self.size, self.bits, self.probes, self.order, self.prior = size, bits, probes, order, prior
         self.head, self.head_counts, self.tokens, self.distinct = head, head_counts, tokens, distinct
+        # No other word is more frequent than those at hand (the end mark is there anyhow), and none is when all are.
+        words = head_counts[head != END]
+        self.most = 0 if distinct <= len(head) else int(words.min()) if len(words) else tokens
 
     def exact(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of tokens among the frequent ones, and which tokens those are."""
@@ -126,11 +143,12 @@ class Model:
         found = self.head[at] == keys
         return np.where(found, self.head_counts[at], 0), found
 
-    def logs(self, keys: np.ndarray, first: np.ndarray, exact: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """log10 probability of each token, each order mixed with the one below by its context's count."""
-        single = exact.astype(float)
-        rare = np.flatnonzero(~found)
-        single[rare] = count_at(probe(self.table, ngram_keys(keys, first, 1)[rare], self.bits, self.probes))
+    def logs(self, keys: np.ndarray, first: np.ndarray, exact: np.ndarray, found: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        """log10 probability of each token, each order mixed with the one below by its context's count.
+
+        ``levels`` has what the filter says of the n-gram that ends at each token, a row an order.
+        """
+        single = np.where(found, exact, np.minimum(count_at(levels[0]), self.most))
         chance = (single + 1.0) / (self.tokens + self.distinct + 1.0)
         starts = np.zeros(len(keys), dtype=bool)
         starts[first[:-1][first[:-1] < len(keys)]] = True
@@ -141,8 +159,7 @@ class Model:
         for n in range(2, self.order + 1):
             # An n-gram is at most as frequent as the shorter ones in it.
             limit = np.minimum(seen, below)
-            held = count_at(probe(self.table, ngram_keys(keys, first, n), self.bits, self.probes, limit))
-            held = np.minimum(held, limit)
+            held = np.minimum(count_at(levels[n - 1]), limit)
             weight = self.prior + SPREAD * seen
             chance = (held + weight * chance) / (seen + weight)
             below = held
@@ -170,51 +187,72 @@ def _count_tokens(text: str):
     return count
 
 
-def _pack_ngrams(text: str, order: int, bits: int):
-    """n-grams of each batch with their counts, one row a bucket."""
+def _ask(order: int, bits: int):
+    """n-grams of a group of rows, one row a bucket; with their counts where the group is for training."""
 
-    def emit(batches):
-        for batch in batches_of(batches):
-            keys, first = sequences(batch.column(text))
-            every = np.concatenate([ngram_keys(keys, first, n) for n in range(1, order + 1)])
-            every, counts = np.unique(shortened(every, bits), return_counts=True)
-            cuts = cut_by_bucket(every << np.uint64(64 - bits - 8 * WIDTH), bits)
-            rows = [(b, every[i:j], counts[i:j]) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([b for b, _, _ in rows], pa.int32()),
-                    pa.array([pack(x, WIDTH) for _, x, _ in rows], pa.binary()),
-                    pa.array([pack(n, 5) for _, _, n in rows], pa.binary()),
-                ],
-                names=["bucket", "keys", "counts"],
-            )
-
-    return emit
-
-
-def _fill(bits: int, segment: int, probes: int):
-    def fill(rows: pa.Table) -> pa.Table:
+    def ask(rows: pa.Table) -> pa.Table:
+        home, held_out = rows.column("bucket")[0], rows.column("held_out")[0].as_py()
+        keys, first = sequences(rows.column("text").combine_chunks())
+        asked, place = asked_ngrams(keys, first, order, bits)
+        counts = np.bincount(place.reshape(-1), minlength=len(asked))
+        cuts = cut_by_bucket(asked << np.uint64(64 - bits - 8 * WIDTH), bits)
+        slices = [(b, slice(i, j)) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+        return pa.table(
+            {
+                "bucket": pa.array([b for b, _ in slices], pa.int32()),
+                "home": pa.array([home.as_py()] * len(slices), pa.int64()),
+                "keys": pa.array([pack(asked[x], WIDTH) for _, x in slices], pa.binary()),
+                "counts": pa.array([None if held_out else pack(counts[x], 5) for _, x in slices], pa.binary()),
+            }
+        )
+
+    return ask
+
+
+ASKED = "bucket int, home long, keys binary, counts binary"
+ANSWERS = "bucket long, part int, levels binary"
+
+
+def _answer(bits: int, segment: int, probes: int):
+    """Fills a bucket's segment from the training rows, and tells each group the levels of the n-grams it asks for."""
+
+    def answer(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
-        keys = np.concatenate([unpack(x, WIDTH) for x in rows.column("keys").to_pylist()])
-        counts = np.concatenate([unpack(x, 5) for x in rows.column("counts").to_pylist()]).astype(np.int64)
+        asked = [unpack(x, WIDTH) for x in rows.column("keys").to_pylist()]
+        counts = [
+            np.zeros(len(keys), dtype=np.int64) if x is None else unpack(x, 5).astype(np.int64)
+            for keys, x in zip(asked, rows.column("counts").to_pylist())
+        ]
+        sizes = [len(x) for x in asked]
+        keys, counts = np.concatenate(asked), np.concatenate(counts)
         order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys, counts = keys[heads], np.add.reduceat(counts, heads)
-        keys |= np.uint64(bucket) << np.uint64(8 * WIDTH)
-        table = build_segment(keys, counts, segment, probes)
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([table.tobytes()], pa.binary())})
-
-    return fill
+        ordered = keys[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        heads = np.flatnonzero(new)
+        keys, counts = ordered[heads] | (np.uint64(bucket) << np.uint64(8 * WIDTH)), np.add.reduceat(counts[order], heads)
+        learnt = counts > 0
+        table = build_segment(keys[learnt], counts[learnt], segment, probes)
+        levels = np.empty(len(order), dtype=np.uint8)
+        levels[order] = probe(table, keys, probes)[np.cumsum(new) - 1]
+        ends = np.cumsum(sizes).tolist()
+        return pa.table(
+            {
+                "bucket": rows.column("home"),
+                "part": rows.column("bucket"),
+                "levels": pa.array([levels[j - n : j].tobytes() for j, n in zip(ends, sizes)], pa.binary()),
+            }
+        )
+
+    return answer
 
 
 def train(
-    docs: DataFrame, order: int = ORDER, prior: float = PRIOR, max_bits: int = MAX_BITS, head: int = HEAD
+    docs: DataFrame, order: int = ORDER, prior: float = PRIOR, head: int = HEAD, read: int = 0
 ) -> tuple[Model, DataFrame]:
-    """Fits the model on the ``text`` of all rows, and returns it with the exact count of every token.
+    """Totals and frequent words of the ``text`` of all rows, with the exact count of every token.
 
-    Tokens are counted by Spark; the most frequent ones (a stated number) and the totals go to the workers. n-grams are
-    counted bucket by bucket, and each bucket fills its own stretch of the filter, whose size has a fixed limit.
+    Tokens are counted by Spark; the most frequent ones (a stated number) and the totals go to the workers. ``read`` is about
+    the number of tokens that will be scored.
     """
     prepare(docs.sparkSession)
     docs = docs.select("text")
@@ -225,14 +263,17 @@ def train(
     frequent = counts.orderBy((F.col("token") == int(END.view(np.int64))).desc(), F.col("n").desc(), "token").limit(head).toArrow()
     keys, n = frequent.column("token").to_numpy().view(np.uint64), frequent.column("n").to_numpy()
     place = np.argsort(keys)
-    size, probes, bits = filter_shape(tokens, order, max_bits=max_bits)
-    segment = size >> bits
-    rows = docs.mapInArrow(_pack_ngrams("text", order, bits), "bucket int, keys binary, counts binary")
-    table = np.zeros(size // 8, dtype=np.uint8)
-    for row in by_bucket(rows, _fill(bits, segment, probes), "bucket int, bits binary").toLocalIterator():
-        at = row["bucket"] * segment // 8
-        table[at : at + segment // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return Model(table, bits, probes, keys[place], n[place], tokens, distinct, order, prior), counts
+    size, probes, bits = filter_shape(tokens, order, read)
+    return Model(size, bits, probes, keys[place], n[place], tokens, distinct, order, prior), counts
+
+
+def ask_filter(grouped: DataFrame, model: Model) -> DataFrame:
+    """What the filter of the rows not held out says of each group's n-grams, a row a group (``bucket``) and segment (``part``).
+
+    n-grams travel to their segment's bucket once, to be counted and to be answered; a task holds one segment at a time.
+    """
+    asked = by_bucket(grouped.select("bucket", "held_out", "text"), _ask(model.order, model.bits), ASKED)
+    return by_bucket(asked, _answer(model.bits, model.size >> model.bits, model.probes), ANSWERS)
 
 
 SCORED = (
@@ -242,37 +283,44 @@ SCORED = (
 
 
 def _score(shared):
-    def score(batches):
+    def score(rows: pa.Table) -> pa.Table:
+        """Scores a group's documents; rows without a text key are the filter's answers."""
         model: Model = shared.value
-        for batch in batches_of(batches):
-            keys, first = sequences(batch.column("text"))
-            exact, found = model.exact(keys)
-            logs = model.logs(keys, first, exact, found)
-            sums = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x  # noqa: E731  every row has its end
-            rare = np.flatnonzero(~found)
-            row = np.searchsorted(first, rare, side="right") - 1
-            order = np.lexsort((keys[rare], row))
-            row, token = row[order], keys[rare][order]
-            heads = np.flatnonzero(
-                np.concatenate([[True], (row[1:] != row[:-1]) | (token[1:] != token[:-1])]) if len(row) else row
-            )
-            n = np.diff(np.concatenate([heads, [len(row)]]))
-            starts = np.searchsorted(row[heads], np.arange(len(first)))
-            pairs = pa.StructArray.from_arrays(
-                [pa.array(token[heads].view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"]
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()),
-                    batch.column("text_key"),
-                    pa.array(np.diff(first).astype(np.int64)),
-                    pa.array(sums((exact > 0).astype(np.int64))),
-                    pa.array(sums(np.log10(np.where(found, exact, 0) + 1.0))),
-                    pa.array(sums(logs)),
-                    pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pairs),
-                ],
-                names=["doc_id", "text_key", "n_tokens", "known", "logs", "score", "rare"],
-            )
+        own = pc.is_valid(rows.column("text_key"))
+        docs, answers = rows.filter(own), rows.filter(pc.invert(own))
+        keys, first = sequences(docs.column("text").combine_chunks())
+        asked, place = asked_ngrams(keys, first, model.order, model.bits)
+        parts, held = answers.column("part").to_numpy(), answers.column("levels").to_pylist()
+        levels = np.frombuffer(b"".join(held[i] for i in np.argsort(parts)), dtype=np.uint8)
+        if len(levels) != len(asked):
+            raise ValueError("the documents changed between two readings")
+        exact, found = model.exact(keys)
+        logs = model.logs(keys, first, exact, found, levels[place].astype(np.int64))
+        sums = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x  # noqa: E731  every row has its end
+        rare = np.flatnonzero(~found)
+        row = np.searchsorted(first, rare, side="right") - 1
+        order = np.lexsort((keys[rare], row))
+        row, token = row[order], keys[rare][order]
+        heads = np.flatnonzero(
+            np.concatenate([[True], (row[1:] != row[:-1]) | (token[1:] != token[:-1])]) if len(row) else row
+        )
+        n = np.diff(np.concatenate([heads, [len(row)]]))
+        starts = np.searchsorted(row[heads], np.arange(len(first)))
+        pairs = pa.StructArray.from_arrays(
+            [pa.array(token[heads].view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"]
+        )
+        return pa.table(
+            [
+                docs.column("doc_id").cast(pa.int64()),
+                docs.column("text_key"),
+                pa.array(np.diff(first).astype(np.int64)),
+                pa.array(sums((exact > 0).astype(np.int64))),
+                pa.array(sums(np.log10(np.where(found, exact, 0) + 1.0))),
+                pa.array(sums(logs)),
+                pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pairs),
+            ],
+            names=["doc_id", "text_key", "n_tokens", "known", "logs", "score", "rare"],
+        )
 
     return score
 
@@ -286,12 +334,18 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, prior: fl
     training rows every token is unknown. Other columns are not read.
     """
     docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    model, counts = train(docs.where("not held_out"), order, prior, **limits)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    model, counts = train(docs.where("not held_out"), order, prior, read=size // TOKEN_BYTES, **limits)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     # Rows that share id and text get the same figures, so the pair serves as key and repeats are counted.
     keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    scored = stored(keyed.select("doc_id", "text", "text_key").mapInArrow(_score(shared), SCORED), "scored")
+    # Groups hold the same rows whenever they are made, and only training rows or only others.
+    home = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(size // GROUP_BYTES + 1)) * 2 + F.col("held_out").cast("long")
+    grouped = keyed.withColumn("bucket", home)
+    answers = stored(ask_filter(grouped, model), "levels")
+    met = grouped.drop("held_out").unionByName(answers, allowMissingColumns=True)
+    scored = stored(by_bucket(met, _score(shared), SCORED), "scored")
     rare = scored.select("doc_id", "text_key", F.inline("rare")).join(
         counts.withColumnRenamed("n", "held"), "token"
     )

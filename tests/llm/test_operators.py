@@ -173,6 +173,58 @@ def test_language_model(docs):
     assert [r["base_score"] for r in one] == pytest.approx([r["base_score"] for r in out.orderBy("doc_id", "n_tokens").collect()])
 
 
+def test_language_model_by_exact_counts(docs):
+    """Scores against exact counts rounded as the filter holds them, mixed over both orders in plain Python."""
+    import numpy as np
+
+    rows = [(r["doc_id"], tokens(r["text"], True) + [0]) for r in docs.collect()]
+    train = [words for key, words in rows if key != 9]
+    ones = collections.Counter(w for words in train for w in words)
+    twos = collections.Counter(pair for words in train for pair in zip([None, *words], words))
+    total = sum(ones.values()) + len(ones) + 1
+    held = lambda n: float(bloom_lm.count_at(bloom_lm.level_of(np.array([n])))[0]) if n else 0.0
+
+    def score(words):
+        out = 0.0
+        for before, word in zip([None, *words], words):
+            seen = ones[before] if before is not None else ones[0]
+            two = min(held(twos[before, word]), seen, ones[word])
+            weight = bloom_lm.PRIOR + bloom_lm.SPREAD * seen
+            out += math.log10((two + weight * (ones[word] + 1) / total) / (seen + weight))
+        return out
+
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in bloom_lm.score_texts(docs, F.col("doc_id") == 9).collect())
+    expected = sorted((str(key), len(words), score(words)) for key, words in rows)
+    assert [r[:2] for r in got] == [r[:2] for r in expected]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in expected], rel=1e-6)
+
+
+def test_filter_grows_with_its_corpus():
+    for count in (10**6, 10**8, 5 * 10**9):
+        size, probes, bits = bloom_lm.filter_shape(count, 2)
+        assert size >= 2 * count * bloom_lm.BITS_PER_TOKEN and probes == 8
+        assert size >> bits <= 1 << 25, "a task fills a segment of 4 MB at most"
+
+
+def test_rare_words_stay_below_frequent_ones():
+    import numpy as np
+
+    keys = np.array([7, 9, 11], dtype=np.uint64)
+    head = np.sort(np.array([7, bloom_lm.END], dtype=np.uint64))
+    counts = np.where(head == bloom_lm.END, 2, 5)
+    first, levels = np.array([0, 3]), np.full((2, 3), 40)
+
+    def chances(distinct):
+        model = bloom_lm.Model(1 << 16, 6, 8, head, counts, 100, distinct)
+        return model.logs(keys, first, *model.exact(keys), levels)
+
+    # A false hit makes no word more frequent than the least of the frequent ones; when all are at hand, others are unknown.
+    assert chances(50)[0] <= math.log10(6) and chances(50)[1] <= 0
+    weight = bloom_lm.PRIOR + bloom_lm.SPREAD * 5
+    assert chances(2)[1] == pytest.approx(math.log10(weight * (1 / 103) / (5 + weight)))
+    assert chances(50)[1] == pytest.approx(math.log10((5 + weight * 6 / 151) / (5 + weight)))
+
+
 def test_quantised_counts():
     import numpy as np
 
