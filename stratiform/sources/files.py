@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from urllib.parse import quote
 
 import pandas as pd
@@ -17,7 +18,8 @@ from stratiform.functions.text import file_extension, file_name, metadata_path
 from stratiform.operators.headers import add_provenance, union_all
 from stratiform.session import ship_package
 
-HEADER_BYTES = 1 << 20
+#: Columns that Spark reads of a CSV file unless told otherwise.
+SPARK_COLUMNS = 20_480
 
 
 def list_files(spark: SparkSession, path: str, extensions: Sequence[str] = ()) -> DataFrame:
@@ -62,6 +64,13 @@ def _open(path: str):
     return system.open_input_file(name)
 
 
+def _first_record(stream, sep: str, encoding: str) -> list[str]:
+    """The first record of a text file that isn't blank, read on until it ends."""
+    text = io.TextIOWrapper(stream, encoding, "replace", newline="")
+    lines = (line if i else line.lstrip("\ufeff") for i, line in enumerate(text))
+    return next((record for record in csv.reader(lines, delimiter=sep) if "".join(record).strip()), [])
+
+
 def _probe(sep: str, encoding: str):
     """Reads the Parquet footer, or the first record of a text file: never the data."""
 
@@ -78,8 +87,7 @@ def _probe(sep: str, encoding: str):
                             footer = pq.ParquetFile(stream)
                             names, rows = footer.schema_arrow.names, footer.metadata.num_rows
                         else:
-                            text = stream.read(HEADER_BYTES).decode(encoding, "replace").lstrip("﻿")
-                            names = next(csv.reader(io.StringIO(text), delimiter=sep), [])
+                            names = _first_record(stream, sep, encoding)
                 except Exception as problem:  # a bad file is reported, not fatal
                     error = f"{type(problem).__name__}: {problem}"
                 found.append((path, extension, names, rows, error))
@@ -109,6 +117,18 @@ def _text_reader(spark: SparkSession, sep: str, encoding: str, multiline: bool):
     )
 
 
+def _layouts(spark: SparkSession, path: str, sep: str, encoding: str) -> list:
+    """The CSV files of each distinct header."""
+    return (
+        probe_headers(spark, path, sep, encoding)
+        .filter("extension = 'csv' AND erreur IS NULL")
+        .groupBy("noms")
+        .agg(F.sort_array(F.collect_list("path")).alias("paths"))
+        .orderBy("paths")
+        .collect()
+    )
+
+
 def read_csv_strings(
     spark: SparkSession,
     path: str,
@@ -122,20 +142,14 @@ def read_csv_strings(
 
     Files are read once per distinct header, so months with other columns never shift
     values. ``style`` also cleans the names; ``provenance`` adds the file and its stem.
+    Cells beyond the header have no column: ``surplus_cells`` counts them.
     """
-    layouts = (
-        probe_headers(spark, path, sep, encoding)
-        .filter("extension = 'csv' AND erreur IS NULL")
-        .groupBy("noms")
-        .agg(F.sort_array(F.collect_list("path")).alias("paths"))
-        .orderBy("paths")
-        .collect()
-    )
     frames = []
-    for layout in layouts:
+    for layout in _layouts(spark, path, sep, encoding):
         # Names only become final after cleaning: positions keep duplicates apart.
         raw = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(layout.noms))])
-        frame = _text_reader(spark, sep, encoding, multiline).schema(raw).csv(layout.paths)
+        reader = _text_reader(spark, sep, encoding, multiline).option("maxColumns", SPARK_COLUMNS + len(layout.noms))
+        frame = reader.schema(raw).csv(layout.paths)
         names = clean_names(layout.noms, style) if style else layout.noms
         if provenance:
             frame = add_provenance(frame)
@@ -146,6 +160,35 @@ def read_csv_strings(
     return union_all(frames)
 
 
+def surplus_cells(
+    spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8", multiline: bool = False
+) -> DataFrame:
+    """``(path, lignes, cellules)`` of the CSV files with filled cells beyond their header: such rows, and such cells."""
+
+    def beyond(columns: int):
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                records = (next(csv.reader(io.StringIO(text, newline=""), delimiter=sep), []) for text in rows["_record"])
+                rows["cellules"] = [sum(cell != "" for cell in record[columns:]) for record in records]
+                yield rows[["path", "cellules"]]
+
+        return count
+
+    frames = []
+    for layout in _layouts(spark, path, sep, encoding):
+        columns = len(layout.noms)
+        raw = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(columns, 1))]).add("_record", "string")
+        # Spark marks the rows whose cells don't match the columns; only those are taken apart again.
+        reader = _text_reader(spark, sep, encoding, multiline).option("maxColumns", SPARK_COLUMNS + columns)
+        rows = reader.option("columnPruning", "false").option("columnNameOfCorruptRecord", "_record").schema(raw).csv(layout.paths)
+        odd = rows.select(metadata_path().alias("path"), "_record", *raw.names[:1]).where("_record IS NOT NULL")
+        frames.append(odd.mapInPandas(beyond(columns), "path string, cellules bigint"))
+    if not frames:
+        return spark.createDataFrame([], "path string, lignes bigint, cellules bigint")
+    found = reduce(DataFrame.unionAll, frames).where("cellules > 0")
+    return found.groupBy("path").agg(F.count(F.lit(1)).alias("lignes"), F.sum("cellules").alias("cellules"))
+
+
 def read_csv_inferred(
     spark: SparkSession, path: str, sep: str = ";", encoding: str = "utf-8", multiline: bool = False
 ) -> DataFrame:
@@ -156,8 +199,10 @@ def read_csv_inferred(
 def file_inventory(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8") -> DataFrame:
     """``(fichier, cle, nb_lignes, nb_colonnes, colonnes)`` of each Parquet or CSV file."""
     probed = probe_headers(spark, path, sep, encoding).filter("erreur IS NULL")
+    widest = probed.agg(F.max(F.size("noms"))).first()[0] or 0
     counts = (
         _text_reader(spark, sep, encoding, False)
+        .option("maxColumns", SPARK_COLUMNS + widest)
         .schema("c0 string")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.csv")

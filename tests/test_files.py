@@ -265,3 +265,17 @@ def test_header_falls_back_to_a_filled_row(spark):
     )
     found = {r["path"]: r["header_row"] for r in header_rows(preview).collect()}
     assert found == {"blank_first": 3, "no_first": 5, "second": 2, "only_title": 1, "token": 7}
+
+
+def test_long_csv_header_and_surplus_cells(spark, tmp_path):
+    names = [f"une_colonne_{i:040d}" for i in range(30_000)]
+    put(tmp_path, "large/x.csv", (",".join(names) + "\n" + ",".join(map(str, range(30_000))) + "\n").encode())
+    probed = files.probe_headers(spark, str(tmp_path / "large")).first()
+    assert probed.noms == names and probed.erreur is None
+    assert files.file_inventory(spark, str(tmp_path / "large")).first().nb_colonnes == 30_000
+    table = files.read_csv_strings(spark, str(tmp_path / "large"))
+    assert table.select(names[0], names[-1]).first() == ("0", "29999")
+    put(tmp_path, "wide/a.csv", b'a,b\n1,2,3\n1\n1,2,,"x,y",z\n1,2,\n')
+    put(tmp_path, "wide/b.csv", b"a,b\n1,2\n")
+    found = files.surplus_cells(spark, str(tmp_path / "wide")).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.lignes, r.cellules) for r in found] == [("a.csv", 2, 3)]
