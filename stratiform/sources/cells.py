@@ -67,19 +67,21 @@ def decode_files(files: DataFrame, decode: Callable[[bytes], Iterable[Row]]) ->
 
 
 def error_report(rows: DataFrame) -> DataFrame:
-    """``(path, error)`` of the files that could not be decoded."""
-    return rows.filter(F.col("error").isNotNull()).select("path", "error")
+    """``(path, error)`` of the files that could not be decoded and, of a preview, of each sheet without a header."""
+    blank = F.concat(F.lit("no header: sheet "), F.col("sheet"), F.lit(" has no filled row"))
+    error = F.coalesce("error", F.when(F.col("row_no").isNull(), blank))
+    return rows.select("path", error.alias("error")).filter(F.col("error").isNotNull())
 
 
 def header_rows(preview: DataFrame, token: str | None = "matricule", depth: int = 20) -> DataFrame:
     """``(path, sheet, sheet_no, header_row)``: first row of the top ``depth`` with the token.
 
-    Without a hit the header is the first row with a cell from row 1 on, or from row 2 on the second sheet; a sheet
-    with rows above that only takes its first one.
+    Without a hit the header is the first row with a cell from row 1 on, or from row 2 on the second sheet, at any depth;
+    a sheet with rows above that only takes its first one.
     """
-    top = preview.filter(F.col("error").isNull() & (F.col("row_no") <= depth))
+    top = preview.filter(F.col("error").isNull())
     default = F.when(F.col("sheet_no") == 2, 2).otherwise(1).cast("long") if token else F.lit(1).cast("long")
-    hit = F.exists("cells", lambda c: F.lower(c).contains(token)) if token else F.lit(False)
+    hit = F.exists("cells", lambda c: F.lower(c).contains(token)) & (F.col("row_no") <= depth) if token else F.lit(False)
     filled = F.exists("cells", lambda c: c.isNotNull())
     first = lambda rule: F.min(F.when(rule, F.col("row_no")))
     chosen = F.coalesce(first(hit), first(filled & (F.col("row_no") >= default)), first(filled))
@@ -116,7 +118,7 @@ def table_of(
 ) -> DataFrame:
     """One text column per header name over all files; a file without the column gives null.
 
-    ``preview`` holds the first rows of each sheet. Its headers, one row per sheet, are stored.
+    ``preview`` holds the first rows of each sheet, down to a filled one. Its headers, one row per sheet, are stored.
     The place of each column is worked out once per sheet, so a data row only picks its cells.
     """
     preview = preview.filter(F.col("sheet_no") == sheet_no)

@@ -94,14 +94,12 @@ def _cell(element, shared: Callable[[int], str]) -> str | None:
     return None if kind == "e" else value
 
 
-def _sheet_rows(stream, shared: Callable[[int], str], max_rows: int | None) -> Iterator[tuple[int, list]]:
+def _sheet_rows(stream, shared: Callable[[int], str]) -> Iterator[tuple[int, list]]:
     last = 0
     for _, element in ElementTree.iterparse(stream):
         if not element.tag.endswith("}row"):
             continue
         last = int(element.get("r", last + 1))
-        if max_rows is not None and last > max_rows:
-            return
         cells: list[str | None] = []
         for cell in element:
             reference = cell.get("r")
@@ -114,33 +112,63 @@ def _sheet_rows(stream, shared: Callable[[int], str], max_rows: int | None) -> I
         yield last, cells
 
 
-def _legacy_workbook(content: bytes, sheet: str | int | None, max_rows: int | None) -> Iterator[tuple]:
+def _first_rows(rows: Iterator[tuple[int, list]], max_rows: int, start: int) -> Iterator[tuple[int | None, list]]:
+    """Rows up to ``max_rows``, and the first filled one from ``start`` on at any depth; a row without number if none is filled."""
+    filled = header = False
+    for row_no, cells in rows:
+        if row_no > max_rows and header:
+            return
+        has = any(cell is not None for cell in cells)
+        filled, header = filled or has, header or (has and row_no >= start)
+        if row_no <= max_rows or (has and row_no >= start):
+            yield row_no, cells
+    if not filled:
+        yield None, []
+
+
+def _legacy_sheets(content: bytes, sheet: str | int | None) -> Iterator[tuple]:
     """The older binary format (.xls); pandas reads it where the optional ``xlrd`` is installed."""
     import pandas as pd
 
-    sheets = pd.read_excel(io.BytesIO(content), sheet_name=None, header=None, dtype=str, nrows=max_rows, engine="xlrd")
+    sheets = pd.read_excel(io.BytesIO(content), sheet_name=None, header=None, dtype=str, engine="xlrd")
     for number, (name, frame) in enumerate(sheets.items(), 1):
         if sheet is None or sheet in (name, number):
-            for row_no, values in enumerate(frame.itertuples(index=False, name=None), 1):
-                yield name, number, row_no, [value if isinstance(value, str) and value else None for value in values]
+            rows = enumerate(frame.itertuples(index=False, name=None), 1)
+            yield name, number, ((i, [v if isinstance(v, str) and v else None for v in values]) for i, values in rows)
 
 
-def decode_workbook(content: bytes, sheet: str | int | None = None, max_rows: int | None = None) -> Iterator[tuple]:
-    """``(sheet, sheet_no, row_no, cells)`` of one sheet (name, or number from 1) or of all."""
+def _sheets(content: bytes, sheet: str | int | None) -> Iterator[tuple]:
+    """``(sheet, sheet_no, rows)``; the rows of a sheet are read before the next sheet is asked for."""
     if content.startswith(LEGACY_MARK):
-        yield from _legacy_workbook(content, sheet, max_rows)
+        yield from _legacy_sheets(content, sheet)
         return
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         shared = _shared_strings(book)
         for number, (name, member) in enumerate(_sheet_files(book), 1):
             if sheet is None or sheet in (name, number):
                 with book.open(member) as stream:
-                    for row_no, cells in _sheet_rows(stream, shared, max_rows):
-                        yield name, number, row_no, cells
+                    yield name, number, _sheet_rows(stream, shared)
+
 
+def decode_workbook(
+    content: bytes, sheet: str | int | None = None, max_rows: int | None = None, start: int | None = None
+) -> Iterator[tuple]:
+    """``(sheet, sheet_no, row_no, cells)`` of one sheet (name, or number from 1) or of all.
 
-def workbook_rows(files: DataFrame, sheet: str | int | None = None, max_rows: int | None = None) -> DataFrame:
-    return decode_files(files, partial(decode_workbook, sheet=sheet, max_rows=max_rows))
+    With ``max_rows`` only the first rows, and the first filled row from ``start`` on (row 2 of a second sheet, else row 1)
+    wherever it stands; a sheet without a filled row then gives a row without number.
+    """
+    for name, number, rows in _sheets(content, sheet):
+        if max_rows is not None:
+            rows = _first_rows(rows, max_rows, start or (2 if number == 2 else 1))
+        for row_no, cells in rows:
+            yield name, number, row_no, cells
+
+
+def workbook_rows(
+    files: DataFrame, sheet: str | int | None = None, max_rows: int | None = None, start: int | None = None
+) -> DataFrame:
+    return decode_files(files, partial(decode_workbook, sheet=sheet, max_rows=max_rows, start=start))
 
 
 def workbook_preview(files: DataFrame, sheet: str | int | None = None) -> DataFrame:
@@ -160,13 +188,13 @@ def workbook_table(
 
 
 def sheet_range(files: DataFrame, sheet: str | int, first_row: int = 1, style: str = "light") -> DataFrame:
-    """A named (or numbered) sheet read from an address: the header is at ``first_row``.
+    """A named (or numbered) sheet read from an address: the header is at ``first_row``, or the first filled row after it.
 
     Rows above the address are skipped before the header is taken, as with ``'Sheet'!A3``.
     """
 
     def shifted(max_rows):
-        rows = workbook_rows(files, sheet, max_rows).withColumn("sheet_no", F.lit(1))
+        rows = workbook_rows(files, sheet, max_rows, first_row).withColumn("sheet_no", F.lit(1))
         return rows.filter(F.col("error").isNotNull() | (F.col("row_no") >= first_row)).withColumn(
             "row_no", F.col("row_no") - (first_row - 1)
         )

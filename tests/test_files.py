@@ -279,3 +279,21 @@ def test_long_csv_header_and_surplus_cells(spark, tmp_path):
     put(tmp_path, "wide/b.csv", b"a,b\n1,2\n")
     found = files.surplus_cells(spark, str(tmp_path / "wide")).collect()
     assert [(r.path.rsplit("/", 1)[1], r.lignes, r.cellules) for r in found] == [("a.csv", 2, 3)]
+
+
+def test_sheets_whose_first_rows_are_blank(spark, tmp_path):
+    deep = [[]] * 24 + [["Matricule", "Nom"], ["a1", "x"], ["a2", "y"]]
+    put(tmp_path, "deep.xlsx", workbook_bytes([("S", deep), ("C", [["title"], *deep])]))
+    put(tmp_path, "good.xlsx", workbook_bytes([("S", deep[24:]), ("C", [["t"], ["Code"], ["7"]])]))
+    put(tmp_path, "blank.xlsx", workbook_bytes([("Vide", [])]))
+    found = files.read_binary(spark, str(tmp_path), "*.xlsx")
+    for token in ("matricule", None):
+        table = workbook.workbook_table(found, token=token)
+        expected = [(m, n, f) for m, n in (("a1", "x"), ("a2", "y")) for f in ("deep.xlsx", "good.xlsx")]
+        assert rows_of(table.select("MATRICULE", "NOM", "FICHIER_SOURCE")) == expected
+    seen = {(r.path.rsplit("/", 1)[1], r.sheet): r.header_row for r in workbook.detect_header_rows(found).collect()}
+    assert seen == {("deep.xlsx", "S"): 25, ("deep.xlsx", "C"): 26, ("good.xlsx", "S"): 1, ("good.xlsx", "C"): 2}
+    errors = cells.error_report(workbook.workbook_preview(found)).collect()
+    assert [(e.path.rsplit("/", 1)[1], "Vide" in e.error) for e in errors] == [("blank.xlsx", True)]
+    ranged = workbook.sheet_range(found.where("path LIKE '%deep%'"), "S", first_row=3)
+    assert rows_of(ranged.select("Matricule", "Nom")) == [("a1", "x"), ("a2", "y")]
