@@ -11,7 +11,7 @@ from stratiform.session import checkpointed
 
 # Fixed values, for four dimensions: the part of each group that the estimate rests on, the factor that makes the
 # covariance of that part consistent, and chi-square quantiles at 0.975 (reweighting) and at one in a million (rejection).
-PART, FACTOR, NEAR, FAR = 0.75, 1.485, 11.143, 33.377
+PART, FACTOR, NEAR, FAR = 0.5, 2.109, 11.143, 33.377
 STATISTICS = ("x0", "x1", "x2", "x3")
 #: Spread that each statistic has at least, so that a group of equal documents doesn't reject small differences.
 SPREAD = (0.35, 0.04, 0.06, 0.15)
@@ -149,8 +149,8 @@ def fit_groups(stats: DataFrame) -> DataFrame:
     """Minimum-covariance-determinant estimates of each language and source, over all its documents.
 
     Concentration steps start from all rows, with the statistics cut at their group's quartiles' reach by the first
-    distance; each step keeps the nearest three quarters of a group and estimates anew, which never raises the
-    determinant. A last step takes every row within the 0.975 quantile. Estimates are one row a group.
+    distance; each step keeps the nearest half of a group, so that a third of it may be copies of one odd text, and
+    estimates anew, which never raises the determinant. A last step takes every row within the 0.975 quantile. Estimates are one row a group.
     """
     rows = stats.where("n_words > 0").select(*KEYS, *STATISTICS)
     middle = [F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(STATISTICS)]

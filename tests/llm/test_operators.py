@@ -408,3 +408,16 @@ def test_repeats_across_piece_cuts(spark, monkeypatch, piece):
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
         got = suffix_dedup.remove_repeats(docs).select("doc_id", "text").collect()
         assert sorted((r[0], r[1]) for r in got) == uncovered(rows, suffix_dedup.LENGTH)
+
+
+@pytest.mark.parametrize("copies", [30, 60, 90])
+def test_a_third_of_junk_copies_goes(spark, copies):
+    """Up to a third of a group may be copies of one odd text; they neither stay nor drag others out."""
+    draw = random.Random(3)
+    plain = lambda: " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randrange(2, 9))) for _ in range(80))
+    junk = " ".join(f"{k:03d}" + "z" * 37 for k in range(60))
+    rows = [(i, plain() if i >= copies else junk, "en", "s1") for i in range(270)]
+    out = quality_rules.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    kept = {r["doc_id"]: r["kept"] for r in out.select("doc_id", "kept").collect()}
+    assert not out.where("base_failed").count()
+    assert kept == {i: i >= copies for i in range(270)}
