@@ -8,6 +8,8 @@ FAMILIES = (
     "silver_queries",
     "enrich_queries",
     "file_queries",
+    "arrival_queries",
+    "temporal_queries",
     "version_queries",
 )
 

@@ -22,8 +22,9 @@ from stratiform.sinks.files import write_csv, write_report
 from stratiform.sinks.tables import ensure_database, overwrite_table, validate_table_name
 from stratiform.sources.cells import error_report
 from stratiform.sources.files import read_binary
-from stratiform.sources.mixed import read_mixed
-from stratiform.sources.workbook import two_sheet_table, workbook_headers, workbook_preview
+from stratiform.sources.mixed import read_mixed_reported
+from stratiform.sources.workbook import decoded, two_sheets_of, workbook_headers, workbook_preview
+from stratiform.streaming.incremental import ingest_drifting, workbook_reader
 
 AMOUNTS = ["montant_brut", "montant_net", "retenue_pension", "impot", "charge_patronale"]
 
@@ -57,14 +58,27 @@ def pre_analysis(spark: SparkSession, source: str, token: str = "matricule") ->
     }
 
 
-def bronze_files(spark: SparkSession, source: str, table: str, **options) -> DataFrame:
-    """Files of any supported format, as text with provenance, in one write."""
-    return save(read_mixed(spark, source, **options), table)
+def bronze_files(spark: SparkSession, source: str, table: str, errors: str | None = None, **options) -> DataFrame:
+    """Files of any supported format, as text with provenance, in one write; files left out go to the table ``errors``."""
+    rows, bad = read_mixed_reported(spark, source, **options)
+    if errors:
+        save(bad, errors)
+    return save(rows, table)
 
 
-def bronze_payroll(spark: SparkSession, source: str, table: str) -> DataFrame:
-    """Monthly two-sheet workbooks, the second sheet's codes joined to the agents."""
-    return save(two_sheet_table(read_binary(spark, source, "*.{xlsx,xls}")), table)
+def bronze_payroll(spark: SparkSession, source: str, table: str, errors: str | None = None) -> DataFrame:
+    """Monthly two-sheet workbooks, the second sheet's codes joined to the agents; files left out go to ``errors``."""
+    rows = decoded(read_binary(spark, source, "*.{xlsx,xls}"))
+    if errors:
+        save(error_report(rows), errors)
+    return save(two_sheets_of(rows), table)
+
+
+def bronze_payroll_new(
+    spark: SparkSession, source: str, target: str, errors: str, state: str, files_per_batch: int = 12
+) -> tuple[DataFrame, DataFrame]:
+    """The workbooks that arrived since the last run, added to those at ``target``; bad ones are listed at ``errors``."""
+    return ingest_drifting(spark, source, target, errors, state, workbook_reader(pairs=True), files_per_batch=files_per_batch)
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Sequence
+from functools import partial
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -62,8 +63,11 @@ def workbook_bytes(sheets: Sequence[tuple[str, Sequence[Sequence]]]) -> bytes:
     return out.getvalue()
 
 
-def _workbook(orders: pd.DataFrame) -> pd.DataFrame:
-    """Title rows above the header; every other file has one more column."""
+def _workbook(orders: pd.DataFrame, own_keys: bool = False) -> pd.DataFrame:
+    """Title rows above the header; every other file has one more column.
+
+    With ``own_keys`` a third of the files join their sheets by a key of their own, and spell the second sheet's otherwise.
+    """
     orders = orders.sort_values("o_orderkey")
     number = int(orders["lot"].iloc[0])
     columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"] + ["o_orderpriority"] * (number % 2)
@@ -72,9 +76,13 @@ def _workbook(orders: pd.DataFrame) -> pd.DataFrame:
     keys = [f"{order}" for order in orders["o_orderkey"]]
     codes = [[key, int(c), float(p)] for key, c, p in zip(keys, orders["o_custkey"], orders["o_totalprice"])]
     agents = [[str(row[0]), *row[1:]] for row in agents]
+    key = "MATRICULE||CODE_ORGANISME"
+    if own_keys and number % 3 == 2:
+        header, agents = [*header, "Clé unique"], [[*row, f"{row[0]}||x"] for row in agents]
+        key, codes = "matricule||code organisme", [[f"{row[0]}||x", *row[1:]] for row in codes]
     sheets = [
         ("Agents", [[f"Lot {number}"], []][: number % 3] + [header] + agents),
-        ("Codes", [["Codes de paie"], ["MATRICULE||CODE_ORGANISME", "101", "102"], *codes]),
+        ("Codes", [["Codes de paie"], [key, "101", "102"], *codes]),
     ]
     return pd.DataFrame({"path": [f"staging/lot_{number:09d}.xlsx"], "content": [workbook_bytes(sheets)]})
 
@@ -103,9 +111,59 @@ def _staged(spark: SparkSession, folder: str, build, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def staged_workbooks(spark: SparkSession, folder: str) -> DataFrame:
-    return _staged(spark, folder, _workbook, "workbooks")
+def staged_workbooks(spark: SparkSession, folder: str, own_keys: bool = False) -> DataFrame:
+    return _staged(spark, folder, partial(_workbook, own_keys=own_keys), "workbooks")
+
+
+def _uneven_csv(orders: pd.DataFrame) -> pd.DataFrame:
+    """Records with line breaks in quotes, a first line of empty cells, or a very long header cell, by turns."""
+    import csv
+
+    number = int(orders["lot"].iloc[0])
+    out = io.StringIO(newline="")
+    writer = csv.writer(out, delimiter=";", lineterminator="\n")
+    long_name = "Remarque " + "x" * 200_000
+    columns = {
+        0: ["Clé", "Situation", "Priorité"],
+        1: ["Situation", "Clé"],
+        2: ["Clé", long_name, "Situation"],
+    }[number % 3]
+    if number % 3 == 1:
+        writer.writerow(["", ""])
+    writer.writerow(columns)
+    for row in orders.sort_values("o_orderkey").itertuples():
+        cells = {"Clé": row.o_orderkey, "Situation": row.o_orderstatus, "Priorité": f"{row.o_orderpriority}\n\"{row.o_orderstatus}\"", long_name: "r"}
+        writer.writerow([cells[c] for c in columns])
+    return pd.DataFrame({"path": [f"staging/lot_{number:09d}.csv"], "content": [out.getvalue().encode("latin-1")]})
+
+
+def staged_csv(spark: SparkSession, folder: str) -> DataFrame:
+    return _staged(spark, folder, _uneven_csv, "csv")
 
 
 def staged_stata(spark: SparkSession, folder: str) -> DataFrame:
     return _staged(spark, folder, _stata, "stata")
+
+
+def put_files(staged: DataFrame, folder: str) -> None:
+    """Writes each staged ``content`` as a file of its own below a folder, from the tasks that hold it."""
+
+    def put(batches):
+        from urllib.parse import quote
+
+        from pyarrow import fs
+
+        for files in batches:
+            for path, content in zip(files["path"], files["content"]):
+                target = f"{folder}/{path.rsplit('/', 1)[-1]}"
+                if "://" in target or target.startswith("file:"):
+                    system, name = fs.FileSystem.from_uri(quote(target, safe=":/@"))
+                else:
+                    system, name = fs.LocalFileSystem(), target
+                system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(name) as out:
+                    out.write(content)
+            yield files[["path"]]
+
+    ship_package(staged.sparkSession)
+    staged.mapInPandas(put, "path string").write.format("noop").mode("overwrite").save()

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratiform.functions.names import clean_names
@@ -97,14 +97,14 @@ def named_headers(preview: DataFrame, style: str, token: str | None, depth: int
 
     found = header_rows(preview, token, depth).drop("sheet")
     cells = preview.select("path", "sheet_no", F.col("row_no").alias("header_row"), F.col("cells").alias("raw"))
-    return found.join(cells, ["path", "sheet_no", "header_row"]).withColumn("names", names("raw"))
+    return lookup_join(cells, found, ["path", "sheet_no", "header_row"], "inner").withColumn("names", names("raw"))
 
 
 def all_names(headers: DataFrame) -> list[str]:
-    """Distinct names over all sheets, in order of first appearance."""
-    seen = headers.select("path", F.posexplode("names").alias("pos", "name"))
-    first = seen.groupBy("name").agg(F.min(F.struct("path", "pos")).alias("at"))
-    return [row.name for row in first.orderBy("at").collect()]
+    """Distinct names over all sheets, in order of first appearance; of spellings that differ by case the first one."""
+    seen = headers.select("path", F.posexplode("names").alias("pos", "name")).where("name IS NOT NULL")
+    first = seen.groupBy(F.lower("name").alias("folded")).agg(F.min(F.struct("path", "pos", "name")).alias("at"))
+    return [row.at.name for row in first.orderBy("at").collect()]
 
 
 def table_of(
@@ -115,25 +115,44 @@ def table_of(
     token: str | None = "matricule",
     start: int = 1,
     provenance: bool = True,
+    key: Column | None = None,
+    drop_key: bool = False,
 ) -> DataFrame:
     """One text column per header name over all files; a file without the column gives null.
 
-    ``preview`` holds the first rows of each sheet, down to a filled one. Its headers, one row per sheet, are stored.
-    The place of each column is worked out once per sheet, so a data row only picks its cells.
+    ``preview`` holds the first rows of each sheet, down to a filled one, or all rows. Its headers, one row per sheet, are
+    stored. The place of each column is worked out once per sheet, so a data row only picks its cells. ``key``, over
+    ``raw`` and ``names`` of a sheet's header, gives the place (from 1) of a column whose cells become ``_cle``;
+    ``drop_key`` leaves that column out of the others, file by file.
     """
     preview = preview.filter(F.col("sheet_no") == sheet_no)
-    headers = checkpointed(named_headers(preview, style, token, start=start))
+    headers = named_headers(preview, style, token, start=start)
+    at = (key if key is not None else F.lit(None)).cast("int")
+    headers = headers.withColumn("key", F.when(at > 0, at))
+    if drop_key:
+        kept = F.transform("names", lambda n, i: F.when((i + 1).eqNullSafe(F.col("key")), F.lit(None)).otherwise(n))
+        headers = headers.withColumn("names", kept)
+    headers = checkpointed(headers)
     names = all_names(headers)
-    wanted = F.array(*[F.lit(name) for name in names])
-    places = headers.select(
-        "path", "header_row", F.transform(wanted, lambda n: F.array_position("names", n).cast("int") - 1).alias("places")
+    wanted = F.array(*[F.lit(name.lower()) for name in names]).cast("array<string>")
+    folded = F.transform("names", lambda n: F.lower(n))
+    places = headers.withColumn("names", folded).select(
+        "path",
+        "header_row",
+        (F.col("key") - 1).alias("key"),
+        F.transform(wanted, lambda n: F.array_position("names", n).cast("int") - 1).alias("places"),
     )
     data = rows.filter((F.col("sheet_no") == sheet_no) & F.col("error").isNull())
     picked = (
         lookup_join(data, places, "path", "inner")
         .filter(F.col("row_no") > F.col("header_row"))
         .filter(F.exists("cells", lambda c: c.isNotNull()))
-        .select("path", F.transform("places", lambda i: F.get(F.col("cells"), i)).alias("v"))
+        .select(
+            "path",
+            F.get("cells", F.col("key")).alias("_cle"),
+            F.transform("places", lambda i: F.get(F.col("cells"), i)).alias("v"),
+        )
     )
-    table = picked.select("path", *[F.col("v")[i].alias(name) for i, name in enumerate(names)])
-    return add_provenance(table, "path").drop("path") if provenance else table
+    extra = ["_cle"] if key is not None else []
+    table = picked.select("path", *extra, *[F.col("v")[i].alias(name) for i, name in enumerate(names)])
+    return add_provenance(table, "path").drop("path") if provenance else table.drop("path")

@@ -3,30 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from stratiform.functions.names import clean_names
-from stratiform.operators.headers import add_provenance, union_all
-from stratiform.sources.files import list_files, read_csv_strings
-from stratiform.sources.stata import read_stata_files
-from stratiform.sources.workbook import read_workbooks
+from stratiform.operators.headers import union_all
+from stratiform.session import checkpointed
+from stratiform.sources.cells import decode_files, error_report, table_of
+from stratiform.sources.files import file_errors, list_files, read_binary, read_csv_strings, read_parquet_strings
+from stratiform.sources.stata import decode_stata
+from stratiform.sources.workbook import decoded
 
 SUPPORTED = ("csv", "parquet", "xlsx", "xls", "dta")
 
 
-def _parquet(spark: SparkSession, path: str, style: str) -> DataFrame:
-    rows = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet")
-        .option("mergeSchema", "true")
-        .parquet(path)
-    )
-    clean = clean_names(rows.columns, style)
-    texts = [F.col(f"`{old}`").cast("string").alias(new) for old, new in zip(rows.columns, clean)]
-    return add_provenance(rows).select(*texts, "PERIODE", "FICHIER_SOURCE")
-
-
-def read_mixed(
+def read_mixed_reported(
     spark: SparkSession,
     path: str,
     style: str = "ascii",
@@ -34,21 +22,43 @@ def read_mixed(
     encoding: str = "utf-8",
     token: str | None = None,
     strict: bool = True,
-) -> DataFrame:
-    """Every supported file below a path as text columns with provenance, united by name.
+) -> tuple[DataFrame, DataFrame]:
+    """Every supported file below a path as text columns with provenance, and ``(path, error)`` of those left out.
 
-    Workbook headers are on row 1 unless ``token`` says how to find them. ``strict`` refuses
-    a folder that holds a file of another format.
+    Columns are united by name. Workbook headers are on row 1 unless ``token`` says how to find them. ``strict``
+    refuses a folder that holds a file of another format.
     """
     seen = {row.extension for row in list_files(spark, path).select("extension").distinct().collect()}
     unknown = sorted(seen - set(SUPPORTED) - {"", "crc"})
     if strict and unknown:
         raise ValueError(f"unsupported formats: {unknown}")
-    seen = {"xlsx" if extension == "xls" else extension for extension in seen}
+    tables, errors = [], []
+    if seen & {"csv", "parquet"}:
+        errors.append(file_errors(spark, path, sep, encoding))
     readers = {
         "csv": lambda: read_csv_strings(spark, path, sep, encoding, style, provenance=True),
-        "parquet": lambda: _parquet(spark, path, style),
-        "xlsx": lambda: read_workbooks(spark, path, style=style, token=token),
-        "dta": lambda: read_stata_files(spark, path, style=style),
+        "parquet": lambda: read_parquet_strings(spark, path, style, sep, encoding),
     }
-    return union_all(readers[name]() for name in SUPPORTED if name in seen)
+    for name in ("csv", "parquet"):
+        if name in seen:
+            try:
+                tables.append(readers[name]())
+            except FileNotFoundError:  # every file of the format is in the errors
+                continue
+    cell_rows = []
+    if seen & {"xlsx", "xls"}:
+        cell_rows.append(decoded(read_binary(spark, path, "*.{xlsx,xls}"), 1))
+    if "dta" in seen:
+        cell_rows.append(checkpointed(decode_files(read_binary(spark, path, "*.dta"), decode_stata)))
+    for number, rows in enumerate(cell_rows):
+        sheet_token = token if number == 0 and seen & {"xlsx", "xls"} else None
+        tables.append(table_of(rows, rows, 1, style, sheet_token))
+        errors.append(error_report(rows))
+    if not tables:
+        raise FileNotFoundError(f"no readable file below {path}")
+    return union_all(tables), union_all(errors)
+
+
+def read_mixed(spark: SparkSession, path: str, style: str = "ascii", *args, **options) -> DataFrame:
+    """The table of ``read_mixed_reported``."""
+    return read_mixed_reported(spark, path, style, *args, **options)[0]

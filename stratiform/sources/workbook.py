@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
@@ -12,7 +11,6 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratiform.functions.names import clean_names
 from stratiform.functions.text import file_name, file_stem
 from stratiform.operators.enrich import join_sheets
 from stratiform.session import checkpointed
@@ -126,6 +124,16 @@ def _first_rows(rows: Iterator[tuple[int, list]], max_rows: int, start: int) ->
         yield None, []
 
 
+def _or_blank(rows: Iterator[tuple[int, list]]) -> Iterator[tuple[int | None, list]]:
+    """All rows, and a row without number if none is filled."""
+    filled = False
+    for row_no, cells in rows:
+        filled = filled or any(cell is not None for cell in cells)
+        yield row_no, cells
+    if not filled:
+        yield None, []
+
+
 def _legacy_sheets(content: bytes, sheet: str | int | None) -> Iterator[tuple]:
     """The older binary format (.xls); pandas reads it where the optional ``xlrd`` is installed."""
     import pandas as pd
@@ -151,16 +159,22 @@ def _sheets(content: bytes, sheet: str | int | None) -> Iterator[tuple]:
 
 
 def decode_workbook(
-    content: bytes, sheet: str | int | None = None, max_rows: int | None = None, start: int | None = None
+    content: bytes,
+    sheet: str | int | None = None,
+    max_rows: int | None = None,
+    start: int | None = None,
+    blank: bool = False,
 ) -> Iterator[tuple]:
     """``(sheet, sheet_no, row_no, cells)`` of one sheet (name, or number from 1) or of all.
 
     With ``max_rows`` only the first rows, and the first filled row from ``start`` on (row 2 of a second sheet, else row 1)
-    wherever it stands; a sheet without a filled row then gives a row without number.
+    wherever it stands; a sheet without a filled row then gives a row without number, as it does with ``blank``.
     """
     for name, number, rows in _sheets(content, sheet):
         if max_rows is not None:
             rows = _first_rows(rows, max_rows, start or (2 if number == 2 else 1))
+        elif blank:
+            rows = _or_blank(rows)
         for row_no, cells in rows:
             yield name, number, row_no, cells
 
@@ -171,6 +185,11 @@ def workbook_rows(
     return decode_files(files, partial(decode_workbook, sheet=sheet, max_rows=max_rows, start=start))
 
 
+def decoded(files: DataFrame, sheet: str | int | None = None) -> DataFrame:
+    """All rows of the sheets, stored, so that headers, data and errors cost one decoding; blank sheets are marked."""
+    return checkpointed(decode_files(files, partial(decode_workbook, sheet=sheet, blank=True)))
+
+
 def workbook_preview(files: DataFrame, sheet: str | int | None = None) -> DataFrame:
     return workbook_rows(files, sheet, PREVIEW_ROWS)
 
@@ -183,8 +202,8 @@ def workbook_table(
     files: DataFrame, sheet_no: int = 1, style: str = "prefix_strip", token: str | None = "matricule", **options
 ) -> DataFrame:
     """One sheet of every workbook as text columns, headers found by ``token``."""
-    rows, preview = workbook_rows(files, sheet_no), workbook_preview(files, sheet_no)
-    return table_of(rows, preview, sheet_no, style, token, **options)
+    rows = decoded(files, sheet_no)
+    return table_of(rows, rows, sheet_no, style, token, **options)
 
 
 def sheet_range(files: DataFrame, sheet: str | int, first_row: int = 1, style: str = "light") -> DataFrame:
@@ -193,13 +212,10 @@ def sheet_range(files: DataFrame, sheet: str | int, first_row: int = 1, style: s
     Rows above the address are skipped before the header is taken, as with ``'Sheet'!A3``.
     """
 
-    def shifted(max_rows):
-        rows = workbook_rows(files, sheet, max_rows, first_row).withColumn("sheet_no", F.lit(1))
-        return rows.filter(F.col("error").isNotNull() | (F.col("row_no") >= first_row)).withColumn(
-            "row_no", F.col("row_no") - (first_row - 1)
-        )
-
-    return table_of(shifted(None), shifted(first_row), 1, style, token=None)
+    rows = decoded(files, sheet).withColumn("sheet_no", F.lit(1))
+    rows = rows.filter(F.col("error").isNotNull() | (F.col("row_no") >= first_row))
+    rows = rows.withColumn("row_no", F.col("row_no") - (first_row - 1))
+    return table_of(rows, rows, 1, style, token=None)
 
 
 def read_workbooks(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -217,24 +233,24 @@ def workbook_headers(files: DataFrame, token: str | None = "matricule") -> DataF
     ).filter(F.col("colonne").isNotNull())
 
 
-_F2_KEY = re.compile(r"MATRICULE.*\|\|", re.IGNORECASE)
+_F2_KEY = "(?i)MATRICULE.*[|][|]"
 
 
-def two_sheet_table(files: DataFrame, style: str = "prefix_strip", token: str = "matricule") -> DataFrame:
-    """First sheet with the code columns (suffix ``_F2``) of the second, joined inside each file.
+def two_sheets_of(rows: DataFrame, style: str = "prefix_strip", token: str = "matricule") -> DataFrame:
+    """First sheet with the code columns (suffix ``_F2``) of the second, joined inside each file, from decoded rows.
 
-    The second sheet's key is its column whose raw name matches ``MATRICULE...||``; the first
-    sheet's key is ``CLE_UNIQUE``, else ``MATRICULE``.
+    Keys are found file by file: the second sheet's is its first column whose raw name matches ``MATRICULE...||``, the
+    first sheet's ``CLE_UNIQUE``, else ``MATRICULE``. A file without them keeps its agents, with null codes.
     """
-    preview = checkpointed(workbook_preview(files))
-    agents = table_of(workbook_rows(files, 1), preview, 1, style, token, start=2)
-    codes = table_of(workbook_rows(files, 2), preview, 2, "raw", token, start=2)
-    key = next((name for name in codes.columns if _F2_KEY.search(name)), None)
-    left = next((name for name in ("CLE_UNIQUE", "MATRICULE") if name in agents.columns), None)
-    if key is None or left is None:
-        return agents
-    others = [name for name in codes.columns if name not in (key, "PERIODE", "FICHIER_SOURCE")]
-    codes = codes.select(F.col(f"`{key}`").alias("_f2"), "FICHIER_SOURCE", *[F.col(f"`{c}`") for c in others])
-    codes = codes.toDF("_f2", "FICHIER_SOURCE", *clean_names(others, style, 2))
-    joined = join_sheets(agents, codes, "FICHIER_SOURCE", F.col(left), F.col("_f2"))
-    return joined.drop("_f2_F2")
+    own = F.coalesce(*(F.nullif(F.array_position("names", F.lit(name)), F.lit(0)) for name in ("CLE_UNIQUE", "MATRICULE")))
+    theirs = F.array_position(F.transform("raw", lambda c: F.coalesce(c.rlike(_F2_KEY), F.lit(False))), F.lit(True))
+    agents = table_of(rows, rows, 1, style, token, start=2, key=own)
+    codes = table_of(rows, rows, 2, style, token, start=2, key=theirs, drop_key=True).drop("PERIODE").where("_cle IS NOT NULL")
+    codes = codes.withColumnRenamed("_cle", "_cle2")
+    joined = join_sheets(agents, codes, "FICHIER_SOURCE", F.col("_cle"), F.col("_cle2"))
+    return joined.drop("_cle", "_cle2_F2")
+
+
+def two_sheet_table(files: DataFrame, style: str = "prefix_strip", token: str = "matricule") -> DataFrame:
+    """Both sheets of every workbook as one table; see ``two_sheets_of``."""
+    return two_sheets_of(decoded(files), style, token)
