@@ -1,6 +1,6 @@
 """N-gram Jaccard join: subsets of a fixed size for small sets, inverted lists for large ones, links checked exactly.
 
-Shingles are put in one order for all documents: by hash, the frequent ones last. Of two sets that are similar enough,
+Shingles are put in one order for all documents: rare ones first, frequent ones by their number, the rest by hash. Of two sets that are similar enough,
 the first tokens of both share at least one (lists) or two (subsets); Jaccard similarity fixes how many first tokens that
 takes. Lists of one document are dropped where they arise. Documents are then linked in rounds. While the lists hold many
 pairs, a round compares a document with a few leaders of each of its lists, so a group of copies costs some rows a copy
@@ -32,9 +32,14 @@ SMALL, MEET = 64, 0.5
 #: Leaders of a list in a round, and leaders that a document tries. Another round follows while the lists hold more than
 #: so many open pairs a row, and the round before added more than one in so many links.
 LEADERS, TRIED, MANY, GAIN = 3, 6, 2, 8
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
+#: A list is short while its rows have so many open pairs each at most.
+SHORT = 8
 #: Slots of the table of documents that need checking; it spares the others' sets the shuffle.
 SLOTS = 1 << 24
-_TOP = np.uint64(1 << 63)
+#: Steps of the number of documents that doubling it makes, when frequent tokens are put in order.
+FINE = 4
 
 
 def whole_sets(column: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
@@ -152,15 +157,16 @@ def _list(n: int, limit: int, frequent):
     """Rows of the lists: first tokens of large sets, pairs of first tokens of small ones."""
 
     def emit(batches):
-        known = frequent.value
+        known, level = frequent.value
         for batch in batches_of(batches):
             ids, sets = batch.column("doc_id").to_pylist(), whole_sets(batch.column("text"), n)
             digests = [_digest(x) for x in sets]
             keys, docs, sizes, lasts = [], [], [], []
             for i in _first_of_copies(ids, sets, digests):
                 tokens, size = sets[i], len(sets[i])
-                often = contains(known, tokens)
-                ordered = np.concatenate([tokens[~often], tokens[often] | _TOP])
+                rank = np.where(contains(known, tokens), level[np.minimum(np.searchsorted(known, tokens), len(level) - 1)], 0)
+                order = np.argsort(rank, kind="stable")
+                ordered, rank = tokens[order], rank[order]
                 first = size - least_shared(size) + 1
                 parts = []
                 if size * UNDER >= limit * OVER or size < SUBSET:
@@ -173,7 +179,7 @@ def _list(n: int, limit: int, frequent):
                     keys.append(part)
                     docs.append(np.full(len(part), ids[i], dtype=np.int64))
                     sizes.append(np.full(len(part), size, dtype=np.int32))
-                    lasts.append(np.full(len(part), int(ordered[first - 1] >> np.uint64(33)), dtype=np.int32))
+                    lasts.append(np.full(len(part), int(rank[first - 1]) << 25 | int(ordered[first - 1] >> np.uint64(38)), dtype=np.int32))
             join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -309,22 +315,48 @@ def _open_lists(held: DataFrame) -> tuple[DataFrame, bool]:
     return out, (pairs or 0) > MANY * rows
 
 
-def _between(held: DataFrame) -> DataFrame:
-    """Pairs of documents of a list that differ in component and not too much in size, with the lists they share.
+def _side(df: DataFrame, name: str, *keep: str) -> DataFrame:
+    return df.select("token", *[F.col(c).alias(f"{name}_{c}") for c in keep])
 
-    Components meet first and their documents then, so those of a large component are never set against each other.
+
+def _near(large: str, small: str) -> Column:
+    return F.col(large) * UNDER >= F.col(small) * OVER
+
+
+def _between(held: DataFrame, limit: int) -> DataFrame:
+    """Pairs of documents that meet in a list, differ in component and can be similar enough by the lists they share.
+
+    In a short list all such pairs meet, and the lists that a pair shares are counted afterwards. In a long one, components
+    meet first and their documents then, so those of a large component are never set against each other; each document
+    brings the tokens of its lists, so that a pair is made only in the first list that both share, and only if they
+    share enough of them. A pair that shares a long list is thus judged there, by all its lists.
     """
-    groups = held.groupBy("token", "component").agg(F.min("size").alias("least"), F.max("size").alias("most"))
-    side = lambda df, name, *keep: df.select("token", *[F.col(c).alias(f"{name}_{c}") for c in keep])
-    near = lambda large, small: F.col(large) * UNDER >= F.col(small) * OVER
-    met = side(groups, "a", "component", "least", "most").join(side(groups, "b", "component", "least", "most"), "token")
-    met = met.where((F.col("a_component") < F.col("b_component")) & near("a_most", "b_least") & near("b_most", "a_least"))
-    met = met.select("token", "a_component", "b_component")
     row = ["component", "doc_id", "size", "last"]
-    rows = met.join(side(held, "a", *row), ["token", "a_component"]).join(side(held, "b", *row), ["token", "b_component"])
-    rows = rows.where(near("a_size", "b_size") & near("b_size", "a_size"))
+    short, long = held.where(F.col("pairs") <= SHORT), held.where(F.col("pairs") > SHORT)
+    rows = _side(short, "a", *row).join(_side(short, "b", *row), "token")
+    rows = rows.where((F.col("a_component") != F.col("b_component")) & (F.col("a_doc_id") < F.col("b_doc_id")))
+    rows = rows.where(_near("a_size", "b_size") & _near("b_size", "a_size"))
     values = [F.first(c).alias(c) for c in ("a_size", "a_last", "b_size", "b_last")]
-    return rows.groupBy(F.col("a_doc_id").alias("x"), F.col("b_doc_id").alias("y")).agg(F.count("*").alias("n"), *values)
+    rows = rows.groupBy(F.col("a_doc_id").alias("x"), F.col("b_doc_id").alias("y")).agg(F.count("*").alias("n"), *values)
+    found = rows.where(_may_link(limit, F.col("n"))).select("x", "y")
+
+    among = held.join(long.select("doc_id").distinct(), "doc_id", "left_semi")
+    tokens = among.groupBy("doc_id").agg(F.collect_list("token").alias("tokens"))
+    long = stored(long.join(tokens, "doc_id"), "long")
+    groups = long.groupBy("token", "component").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    met = _side(groups, "a", "component", "least", "most").join(_side(groups, "b", "component", "least", "most"), "token")
+    met = met.where((F.col("a_component") < F.col("b_component")) & _near("a_most", "b_least") & _near("b_most", "a_least"))
+    met = met.select("token", "a_component", "b_component")
+    both = F.array_intersect("a_tokens", "b_tokens")
+    rows = met.join(_side(long, "a", *row, "tokens"), ["token", "a_component"])
+    rows = rows.join(_side(long, "b", *row, "tokens"), ["token", "b_component"]).where(
+        _near("a_size", "b_size")
+        & _near("b_size", "a_size")
+        & _may_link(limit, F.size(both))
+        & (F.array_min(both) == F.col("token"))
+    )
+    pair = [F.least("a_doc_id", "b_doc_id").alias("x"), F.greatest("a_doc_id", "b_doc_id").alias("y")]
+    return found.unionAll(rows.select(*pair)).distinct()
 
 
 def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -337,7 +369,7 @@ def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     read; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, BATCH_BYTES)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(docs.mapInArrow(_sign(n), SIGNED), "signatures")
     counts, signed = signed.where(F.col("n_shingles") == COUNTS), signed.where(F.col("n_shingles") != COUNTS)
@@ -346,8 +378,11 @@ def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     classes = stored(classes, "classes")
 
     frequent = counts.select(F.inline("tokens")).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    frequent = frequent.orderBy(F.col("n").desc(), "token").limit(KNOWN).toArrow().column("token").to_numpy()
-    frequent = spark.sparkContext.broadcast(np.sort(frequent.astype(np.uint64)))
+    frequent = frequent.orderBy(F.col("n").desc(), "token").limit(KNOWN).orderBy("token").toArrow()
+    # The last entry stands for no token: shingles have 63 bits.
+    known = np.append(frequent.column("token").to_numpy(), -1).astype(np.uint64)
+    level = np.append(np.minimum(63, 1 + FINE * np.log2(frequent.column("n").to_numpy() / FREQUENT + 1)), 0).astype(np.uint8)
+    frequent = spark.sparkContext.broadcast((known, level))
     sizes = classes.groupBy(F.least("n_shingles", F.lit(4 * SMALL)).alias("size")).agg(F.count("*").alias("n")).collect()
     met = counts.agg(F.avg("met"), F.count("met")).first()
     mean = 1 + max(0.0, (met[0] or 1.0) - 1) * (met[1] or 1)
@@ -374,7 +409,7 @@ def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
         many, number = many and fresh.count() * GAIN > links.count(), number + 1
 
     # Last round: all pairs of different components that share enough first tokens.
-    links = stored(checked(docs, _between(held).where(_may_link(limit)), n).unionAll(links), "links")
+    links = stored(checked(docs, _between(held, limit), n).unionAll(links), "links")
     found = components(links)
 
     reps = classes.join(found, classes["rep"] == found["node"], "left")
@@ -384,7 +419,7 @@ def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def _may_link(limit: int) -> Column:
+def _may_link(limit: int, shared: Column) -> Column:
     """Whether a pair can reach the similarity, by the number of first tokens it shares.
 
     Where one set's first tokens all come before the other's last one, those not shared are missing from the other set.
@@ -398,7 +433,7 @@ def _may_link(limit: int) -> Column:
         .when(F.col("a_last") > F.col("b_last"), rest(b))
         .otherwise(F.greatest(rest(a), rest(b)))
     )
-    return (F.col("n") + bound >= need) | (F.least(a, b) <= limit)
+    return (shared + bound >= need) | (F.least(a, b) <= limit)
 
 
 def keep_one(docs: DataFrame, n: int = SHINGLE) -> DataFrame:

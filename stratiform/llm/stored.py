@@ -10,13 +10,16 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of an Arrow batch where the session leaves Spark's default: whole texts are long, and a task holds a batch.
 BATCH_ROWS, SPARK_ROWS = "1000", "10000"
+BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def prepare(spark: SparkSession) -> None:
-    """Readies a session for operators that run Python tasks over whole texts."""
+def prepare(spark: SparkSession, batch_bytes: int | None = None) -> None:
+    """Readies a session for operators that run Python tasks over whole texts; ``batch_bytes`` bounds an Arrow batch, save a longer row."""
     ship_package(spark)
     if spark.conf.get(ROWS, SPARK_ROWS) == SPARK_ROWS:
         spark.conf.set(ROWS, BATCH_ROWS)
+    if batch_bytes:
+        spark.conf.set(BYTES, str(batch_bytes))
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
