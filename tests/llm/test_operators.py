@@ -98,6 +98,31 @@ def test_links_of_many_near_copies(spark):
     assert got == low
 
 
+def test_links_of_a_large_loose_group(spark):
+    """Many copies of one text, edited so much that only some pairs are similar enough, and a passage they share with others."""
+    draw = random.Random(11)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        copy = list(base)
+        for _ in range(draw.randrange(0, 4)):
+            copy[draw.randrange(60)] = f"n{draw.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(200 + i, " ".join(base[:20] + [f"u{i}x{k}" for k in range(30)])) for i in range(40)]
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows}
+    low = {k: k for k in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in range(len(low)):
+        before = dict(low)
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+        if before == low:
+            break
+    assert 1 < len(set(low.values())) < 200
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == low
+
+
 @pytest.mark.parametrize("many", [-1.0, ngram_join.MANY])
 def test_links_by_all_pairs(spark, monkeypatch, many):
     """Groups of edited copies of many sizes, with passages that groups share, against every pair; with and without leaders."""
