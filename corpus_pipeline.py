@@ -15,7 +15,8 @@ from stratiform.session import new_folder
 
 MODEL = os.environ.get("STRATIFORM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
-#: The model's fits, links and pieces have no form in SQL; tests hold every stage against a plain version.
+#: The model's fits, links and pieces have no form in SQL. Tests hold links, cuts, mixing and pieces against plain versions,
+#: and the stages in order against their rules.
 ORACLE_SQL = None
 
 
