@@ -2,10 +2,12 @@
 
 Shingles are put in one order for all documents: rare ones first, frequent ones by their number, the rest by hash. Of two sets that are similar enough,
 the first tokens of both share at least one (lists) or two (subsets); Jaccard similarity fixes how many first tokens that
-takes. Lists of one document are dropped where they arise. Documents are then linked in rounds. While the lists hold many
-pairs, a round compares a document with a few leaders of each of its lists, so a group of copies costs some rows a copy
-and not one a pair. The last round lists all pairs whose documents are still in different components, and drops those
-that share too few first tokens. All rounds check pairs by their whole sets.
+takes. A row of a list holds how many tokens its set has from there on: two documents meet in a list only if both have
+as many left as a link between their sizes must share. Lists of one document are dropped where they arise. Documents are
+then linked in rounds. While the lists hold many pairs, a round compares a document with a few leaders of each of its
+lists, so a group of copies costs some rows a copy and not one a pair; documents that find others in most of their lists
+lead, as the text that copies were made from does. The last round takes all pairs that meet and whose documents are
+still in different components. All rounds check pairs by their whole sets.
 """
 
 from __future__ import annotations
@@ -146,45 +148,50 @@ def boundary(sizes: dict[int, int], met: float) -> int:
     return min(range(SMALL + 1), key=lambda limit: (cost(limit), limit))
 
 
-LISTED = "token long, doc_id long, size int, last int"
+LISTED = "token long, doc_id long, size int, room int, keys int"
 
 
 def _list(n: int, limit: int, frequent):
-    """Rows of the lists: first tokens of large sets, pairs of first tokens of small ones."""
+    """Rows of the lists: first tokens of large sets, pairs of first tokens of small ones.
+
+    ``room`` is the most tokens that a set can share with one it first meets in this list, ``keys`` the number of its rows.
+    """
 
     def emit(batches):
         known, level = frequent.value
         for batch in batches_of(batches):
             ids, sets = batch.column("doc_id").to_pylist(), whole_sets(batch.column("text"), n)
             digests = [_digest(x) for x in sets]
-            keys, docs, sizes, lasts = [], [], [], []
+            keys, docs, sizes, rooms, totals = [], [], [], [], []
             for i in _first_of_copies(ids, sets, digests):
                 tokens, size = sets[i], len(sets[i])
                 rank = np.where(contains(known, tokens), level[np.minimum(np.searchsorted(known, tokens), len(level) - 1)], 0)
-                order = np.argsort(rank, kind="stable")
-                ordered, rank = tokens[order], rank[order]
+                ordered = tokens[np.argsort(rank, kind="stable")]
                 first = size - least_shared(size) + 1
                 parts = []
                 if size * UNDER >= limit * OVER or size < SUBSET:
-                    parts.append(ordered[:first])
+                    parts.append((ordered[:first], size - np.arange(first)))
                 if SUBSET <= size <= limit:
                     head = ordered[: first + 1]
                     a, b = np.triu_indices(len(head), 1)
-                    parts.append(mixed(head[a] * np.uint64(0x9E3779B97F4A7C15) + head[b]))
-                for part in parts:
+                    parts.append((mixed(head[a] * np.uint64(0x9E3779B97F4A7C15) + head[b]), size - b + SUBSET - 1))
+                total = sum(len(part) for part, _ in parts)
+                for part, room in parts:
                     keys.append(part)
                     docs.append(np.full(len(part), ids[i], dtype=np.int64))
                     sizes.append(np.full(len(part), size, dtype=np.int32))
-                    lasts.append(np.full(len(part), int(rank[first - 1]) << 25 | int(ordered[first - 1] >> np.uint64(38)), dtype=np.int32))
+                    rooms.append(room.astype(np.int32))
+                    totals.append(np.full(len(part), total, dtype=np.int32))
             join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(join(keys, np.uint64).view(np.int64)),
                     pa.array(join(docs, np.int64)),
                     pa.array(join(sizes, np.int32)),
-                    pa.array(join(lasts, np.int32)),
+                    pa.array(join(rooms, np.int32)),
+                    pa.array(join(totals, np.int32)),
                 ],
-                names=["token", "doc_id", "size", "last"],
+                names=["token", "doc_id", "size", "room", "keys"],
             )
 
     return emit
@@ -274,22 +281,37 @@ def _round(size: Column, part: tuple[int, int]) -> Column:
     return F.floor((size * part[0] + part[1] - 1) / part[1])
 
 
-def _with_leaders(held: DataFrame, limit: int, number: int) -> DataFrame:
+def _can_meet(a_size: str, a_room: str, b_size: str, b_room: str) -> Column:
+    """Whether two documents can be linked if they first meet in this list, by their sizes and what is left of them.
+
+    With the least size and the most room of a component, whether any of its documents can.
+    """
+    need = _round(F.col(a_size) + F.col(b_size), (OVER, OVER + UNDER))
+    return (F.col(a_room) >= need) & (F.col(b_room) >= need)
+
+
+def _with_leaders(held: DataFrame, number: int) -> DataFrame:
     """Pairs of a document and a leader of its lists that share several of them and aren't linked yet.
 
-    Leaders are the least of a list by a few orders; the orders change with each round but not with the list, so the
-    same few documents lead all lists of a group of copies.
+    Leaders are the documents of a list that find others in most of their lists, weighed by chance but for the first one
+    of the first round: weights change with each round but not with the list, so the same few documents lead all lists
+    of a group of copies.
     """
-    size = F.col("size")
-    near = F.floor(F.log(size) / F.log(F.lit(UNDER / OVER))).alias("near")
+    near = F.floor(F.log("size") / F.log(F.lit(UNDER / OVER))).alias("near")
     rows = held.withColumn("near", near)
-    least = [F.min(F.struct(F.xxhash64("doc_id", F.lit(number * LEADERS + i)), "doc_id", "component")) for i in range(LEADERS)]
-    leaders = rows.groupBy("token", "near").agg(F.array(*least).alias("least"), F.count("*").alias("n")).where("n > 1")
-    leaders = leaders.select("token", "near", F.explode(F.array_distinct("least")).alias("l"))
-    leaders = leaders.select("token", "near", F.col("l.doc_id").alias("x"), F.col("l.component").alias("led"))
-    rows = rows.join(leaders, ["token", "near"]).where("doc_id <> x and component <> led")
-    rows = rows.groupBy("x", F.col("doc_id").alias("y")).agg(F.count("*").alias("n"), F.first("size").alias("size"))
-    rows = rows.where((F.col("n") * 20 >= size) | (size <= limit))
+
+    def order(i: int) -> Column:
+        chance = F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(1 << 20)) / (1 << 20)
+        return F.col("central") * (1.0 if i == 0 else 0.5 + chance / 2)
+
+    row = F.struct("doc_id", "component", "size", "room")
+    most = [F.max_by(row, F.struct(order(number * LEADERS + i), F.xxhash64("doc_id"))) for i in range(LEADERS)]
+    leaders = rows.groupBy("token", "near").agg(F.array(*most).alias("most"), F.count("*").alias("n")).where("n > 1")
+    leaders = leaders.select("token", "near", F.explode(F.array_distinct("most")).alias("l"))
+    leaders = leaders.select("token", "near", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("doc_id", "component", "size", "room")])
+    rows = rows.join(leaders, ["token", "near"])
+    rows = rows.where((F.col("component") != F.col("l_component")) & _can_meet("size", "room", "l_size", "l_room"))
+    rows = rows.groupBy(F.col("l_doc_id").alias("x"), F.col("doc_id").alias("y")).agg(F.count("*").alias("n"))
     # A document tries the leaders that share most with it; the last round misses none of the others.
     best = F.slice(F.sort_array(F.collect_list(F.struct("n", "x")), asc=False), 1, TRIED)
     rows = rows.groupBy("y").agg(best.alias("best")).select("y", F.explode("best.x").alias("x"))
@@ -302,31 +324,41 @@ def _with_components(lists: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _open_lists(held: DataFrame) -> tuple[DataFrame, bool]:
-    """Rows of the lists that hold more than one component, and whether they hold many pairs that could be linked."""
-    parts = held.groupBy("token", "component").agg(F.count("*").cast("double").alias("n"))
-    lists = parts.groupBy("token").agg(F.count("*").alias("parts"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("same"))
-    lists = lists.where("parts > 1").select("token", ((F.col("rows") - F.col("same") / F.col("rows")) / 2).alias("pairs"))
-    out = stored(held.drop("pairs").join(lists, "token"), "open")
+    """Rows of the lists that hold more than one component, and whether they hold many pairs that could be linked.
+
+    The smaller document of a pair that can meet lies early enough to meet one of its own size; those are counted.
+    """
+    early = F.when(_can_meet("size", "room", "size", "room"), 1.0).otherwise(0.0)
+    parts = held.groupBy("token", "component").agg(F.sum(early).alias("n"))
+    total, same = F.sum("n"), F.sum(F.col("n") * F.col("n"))
+    lists = parts.groupBy("token").agg(F.count("*").alias("parts"), total.alias("early"), ((total * total - same) / 2).alias("pairs"))
+    lists = lists.where("parts > 1 and early > 0").select("token", (F.col("pairs") / F.col("early")).alias("pairs"))
+    out = stored(held.drop("pairs").join(lists, "token").withColumn("pairs", F.col("pairs") * early), "open")
     rows, pairs = out.agg(F.count("*"), F.sum("pairs")).first()
     return out, (pairs or 0) > MANY * rows
 
 
 def _between(held: DataFrame) -> DataFrame:
-    """Pairs of documents of a list that differ in component and not too much in size, with the lists they share.
+    """Pairs of documents that differ in component and can be linked if they first meet in a list that both are in.
 
     Components meet first and their documents then, so those of a large component are never set against each other.
     """
-    groups = held.groupBy("token", "component").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    groups = held.groupBy("token", "component").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("room").alias("room"))
     side = lambda df, name, *keep: df.select("token", *[F.col(c).alias(f"{name}_{c}") for c in keep])
     near = lambda large, small: F.col(large) * UNDER >= F.col(small) * OVER
-    met = side(groups, "a", "component", "least", "most").join(side(groups, "b", "component", "least", "most"), "token")
+    row = ["component", "least", "most", "room"]
+    met = side(groups, "a", *row).join(side(groups, "b", *row), "token")
     met = met.where((F.col("a_component") < F.col("b_component")) & near("a_most", "b_least") & near("b_most", "a_least"))
-    met = met.select("token", "a_component", "b_component")
-    row = ["component", "doc_id", "size", "last"]
-    rows = met.join(side(held, "a", *row), ["token", "a_component"]).join(side(held, "b", *row), ["token", "b_component"])
-    rows = rows.where(near("a_size", "b_size") & near("b_size", "a_size"))
-    values = [F.first(c).alias(c) for c in ("a_size", "a_last", "b_size", "b_last")]
-    return rows.groupBy(F.col("a_doc_id").alias("x"), F.col("b_doc_id").alias("y")).agg(F.count("*").alias("n"), *values)
+    met = met.where(_can_meet("a_least", "a_room", "b_least", "b_room")).select("token", "a_component", "b_component", "b_least", "b_most", "b_room")
+    row = ["component", "doc_id", "size", "room"]
+    # The documents of the first component that can meet the second one, and then the documents of the second one.
+    a = side(held, "a", *row).withColumnsRenamed({"a_room": "a_left"})
+    rows = met.join(a, ["token", "a_component"])
+    rows = rows.where(near("a_size", "b_least") & near("b_most", "a_size") & _can_meet("a_size", "a_left", "b_least", "b_room"))
+    b = side(held, "b", *row).withColumnsRenamed({"b_room": "b_left"})
+    rows = rows.join(b, ["token", "b_component"])
+    rows = rows.where(near("a_size", "b_size") & near("b_size", "a_size") & _can_meet("a_size", "a_left", "b_size", "b_left"))
+    return rows.select(F.least("a_doc_id", "b_doc_id").alias("x"), F.greatest("a_doc_id", "b_doc_id").alias("y")).distinct()
 
 
 def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -366,20 +398,23 @@ def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     several = ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     same = ids.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     same = same.join(several.select(F.col("doc_id").alias("a")), "a", "left_semi").unionAll(several.select("a", "b"))
-    lists = lists.join(ids, "doc_id").select("token", F.col("rep").alias("doc_id"), "size", "last").distinct()
+    lists = lists.join(ids, "doc_id").select("token", F.col("rep").alias("doc_id"), "size", "room", "keys").distinct()
     lists = stored(lists, "lists")
+    # Share of a document's lists that hold others, too.
+    central = lists.groupBy("doc_id").agg((F.count("*") / F.max("keys")).alias("central"))
+    lists = stored(lists.drop("keys").join(central, "doc_id"), "lists")
 
     # Rounds of leaders: each document against a few of its list, among documents of about its size.
     links, number = stored(same, "same"), 0
     held, many = _open_lists(lists.withColumn("component", F.col("doc_id")))
     while many:
-        fresh = stored(checked(docs, _with_leaders(held, limit, number), n), "fresh")
+        fresh = stored(checked(docs, _with_leaders(held, number), n), "fresh")
         links = stored(links.unionAll(fresh).distinct(), "links")
         held, many = _open_lists(_with_components(lists, components(links)))
         many, number = many and fresh.count() * GAIN > links.count(), number + 1
 
-    # Last round: all pairs of different components that share enough first tokens.
-    links = stored(checked(docs, _between(held).where(_may_link(limit)), n).unionAll(links), "links")
+    # Last round: all pairs of different components that can be linked.
+    links = stored(checked(docs, _between(held), n).unionAll(links), "links")
     found = components(links)
 
     reps = classes.join(found, classes["rep"] == found["node"], "left")
@@ -389,23 +424,6 @@ def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def _may_link(limit: int) -> Column:
-    """Whether a pair can reach the similarity, by the number of first tokens it shares.
-
-    Where one set's first tokens all come before the other's last one, those not shared are missing from the other set.
-    Pairs met in subsets are few and small, and all checked.
-    """
-    a, b = F.col("a_size"), F.col("b_size")
-    need = _round(a + b, (OVER, OVER + UNDER))
-    rest = lambda size: _round(size, (OVER, UNDER)) - 1
-    bound = (
-        F.when(F.col("a_last") < F.col("b_last"), rest(a))
-        .when(F.col("a_last") > F.col("b_last"), rest(b))
-        .otherwise(F.greatest(rest(a), rest(b)))
-    )
-    return (F.col("n") + bound >= need) | (F.least(a, b) <= limit)
-
-
 def keep_one(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """One document of each component, the one with its smallest id; of rows that share that id, one.
 
