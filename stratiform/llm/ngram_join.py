@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from stratiform.llm.graph import components
 from stratiform.llm.packed import contains
-from stratiform.llm.stored import prepare, stored
+from stratiform.llm.stored import discard, prepare, stored
 from stratiform.llm.words import batches_of, grams, mixed, sequence_hash, word_hashes
 
 SHINGLE = 5
@@ -31,9 +31,9 @@ SUBSET = 2
 FREQUENT, KNOWN = 8, 1 << 20
 #: Largest size at which subsets may be tried, and the cost of meeting a document in a list against writing a row.
 SMALL, MEET = 64, 0.5
-#: Leaders of a list in a round, and leaders that a document tries. Another round follows while the lists hold more than
-#: so many open pairs a row, and the round before added more than one in so many links.
-LEADERS, TRIED, MANY, GAIN = 3, 6, 2, 8
+#: Leaders of a list in a round, and leaders that a document tries. Lists with more than so many pairs a row get leaders;
+#: another round follows while there are any, and the round before found more than one in so many of the rounds' links.
+LEADERS, TRIED, MANY, GAIN = 3, 2, 2, 8
 #: Slots of the table of documents that need checking; it spares the others' sets the shuffle.
 SLOTS = 1 << 24
 #: Steps of the number of documents that doubling it makes, when frequent tokens are put in order.
@@ -273,7 +273,10 @@ def checked(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     rows = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("tokens").alias("x_tokens")), "x")
     rows = rows.join(sets.select(F.col("doc_id").alias("y"), F.col("tokens").alias("y_tokens")), "y")
     rows = rows.select("x", "y", "x_tokens", "y_tokens").mapInArrow(_check, "x long, y long")
-    return rows.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    rows = stored(rows.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "checked")
+    discard(pairs, sets)
+    wanted.unpersist()
+    return rows
 
 
 def _round(size: Column, part: tuple[int, int]) -> Column:
@@ -298,7 +301,7 @@ def _with_leaders(held: DataFrame, number: int) -> DataFrame:
     of a group of copies.
     """
     near = F.floor(F.log("size") / F.log(F.lit(UNDER / OVER))).alias("near")
-    rows = held.withColumn("near", near)
+    rows = held.where(F.col("pairs") > MANY).withColumn("near", near)
 
     def order(i: int) -> Column:
         chance = F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(1 << 20)) / (1 << 20)
@@ -318,13 +321,13 @@ def _with_leaders(held: DataFrame, number: int) -> DataFrame:
     return rows.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def _with_components(lists: DataFrame, found: DataFrame) -> DataFrame:
-    held = lists.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+def _with_components(held: DataFrame, found: DataFrame) -> DataFrame:
+    held = held.drop("component").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return held.withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def _open_lists(held: DataFrame) -> tuple[DataFrame, bool]:
-    """Rows of the lists that hold more than one component, and whether they hold many pairs that could be linked.
+def _open_lists(held: DataFrame) -> DataFrame:
+    """Rows of the lists that hold more than one component, with the pairs of a list for each row that can meet its like.
 
     The smaller document of a pair that can meet lies early enough to meet one of its own size; those are counted.
     """
@@ -333,9 +336,7 @@ def _open_lists(held: DataFrame) -> tuple[DataFrame, bool]:
     total, same = F.sum("n"), F.sum(F.col("n") * F.col("n"))
     lists = parts.groupBy("token").agg(F.count("*").alias("parts"), total.alias("early"), ((total * total - same) / 2).alias("pairs"))
     lists = lists.where("parts > 1 and early > 0").select("token", (F.col("pairs") / F.col("early")).alias("pairs"))
-    out = stored(held.drop("pairs").join(lists, "token").withColumn("pairs", F.col("pairs") * early), "open")
-    rows, pairs = out.agg(F.count("*"), F.sum("pairs")).first()
-    return out, (pairs or 0) > MANY * rows
+    return stored(held.drop("pairs").join(lists, "token"), "open")
 
 
 def _between(held: DataFrame) -> DataFrame:
@@ -392,7 +393,6 @@ def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
     lists = docs.mapInArrow(_list(n, limit, frequent), LISTED)
     lists = lists.repartition("token").sortWithinPartitions("token").mapInArrow(_shared_only, LISTED)
-    lists = stored(lists, "lists")
     # A class stands in the lists by its representative only.
     ids = signed.where("doc_id is not null and n_shingles > 0").join(classes, key).select("doc_id", "rep").distinct()
     several = ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
@@ -402,19 +402,23 @@ def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     lists = stored(lists, "lists")
     # Share of a document's lists that hold others, too.
     central = lists.groupBy("doc_id").agg((F.count("*") / F.max("keys")).alias("central"))
-    lists = stored(lists.drop("keys").join(central, "doc_id"), "lists")
-
-    # Rounds of leaders: each document against a few of its list, among documents of about its size.
-    links, number = stored(same, "same"), 0
-    held, many = _open_lists(lists.withColumn("component", F.col("doc_id")))
-    while many:
-        fresh = stored(checked(docs, _with_leaders(held, number), n), "fresh")
-        links = stored(links.unionAll(fresh).distinct(), "links")
-        held, many = _open_lists(_with_components(lists, components(links)))
-        many, number = many and fresh.count() * GAIN > links.count(), number + 1
+    held = _open_lists(lists.drop("keys").join(central, "doc_id").withColumn("component", F.col("doc_id")))
+    discard(lists)
+
+    # Rounds of leaders: each document of a long list against a few of them, among documents of about its size.
+    links, number, gained = stored(same, "same"), 0, 0
+    while not held.where(F.col("pairs") > MANY).isEmpty():
+        fresh = checked(docs, _with_leaders(held, number), n)
+        merged, new = stored(links.unionAll(fresh).distinct(), "links"), fresh.count()
+        before, links = held, merged
+        held, number, gained = _open_lists(_with_components(held, components(links))), number + 1, gained + new
+        discard(before, fresh)
+        if new * GAIN <= gained:
+            break
 
     # Last round: all pairs of different components that can be linked.
     links = stored(checked(docs, _between(held), n).unionAll(links), "links")
+    discard(held)
     found = components(links)
 
     reps = classes.join(found, classes["rep"] == found["node"], "left")

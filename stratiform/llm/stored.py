@@ -31,4 +31,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(folder)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.parquet(folder)
+    out = spark.read.parquet(folder)
+    out.stored_in = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables that ``stored`` returned and nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_in)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
