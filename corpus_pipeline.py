@@ -43,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, their number, and whether they decode to the text."""
-    out = pieces.decode_pieces(pieces.encode_pieces(docs, MODEL), MODEL)
+    out = pieces.decode_pieces(pieces.encode_pieces(docs.select("doc_id", "source", "text"), MODEL), MODEL)
     n_pieces = F.coalesce(F.when(F.col("ids").isNotNull(), F.size("ids")), F.lit(0)).cast("long")
     lossless = F.col("decoded").eqNullSafe(F.col("text"))
     return out.select("doc_id", "source", n_pieces.alias("n_pieces"), lossless.alias("lossless"), "ids")
