@@ -19,7 +19,7 @@ MODEL_BYTES = 64 << 20
 SPACE, NORMAL, DEFINED, BYTE, PENALTY = "▁", 1, 4, 6, 10.0
 #: Stands for a space inside; no valid text holds it, so a space mark in a text stays a character of its own.
 MARK = "\ud800"
-REMEMBERED, SHORT = 400_000, 48
+REMEMBERED, SHORT = 100_000, 48
 #: Pieces scored below this are never to be chosen; they do not set the price of a byte.
 UNUSED = -1e8
 
