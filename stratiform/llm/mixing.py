@@ -70,14 +70,15 @@ def mix_sources(
 
     The rate of a source is its target over its words. A document is taken floor(rate) times, and once more when its
     draw is below the fraction, so repeated rows and reruns agree. Null text counts as empty, null is a source of its
-    own (the last), and a source or corpus without words has target 0. Columns named like the new ones are replaced.
+    own (the last), and a source or corpus without words has target 0. Columns named like the new ones are replaced, all
+    others come back as they were, whatever their names: they travel as one column.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     sizes = checkpointed(docs.select("source", n_words(F.col("text")).alias("size")))
     targets = source_targets(sizes, weights, share, most).withColumnRenamed("source", "_source")
-    out = docs.withColumn("size", n_words(F.col("text")))
-    out = out.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    return _with_copies(out, seed)
+    out = docs.select(F.struct("*").alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    out = out.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left")
+    return _with_copies(out, seed).select("row.*", "size", "source_size", "target", "copies", "taken")
 
 
 def _with_copies(out: DataFrame, seed: str) -> DataFrame:
@@ -98,5 +99,5 @@ def mix_table(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
     """Every document as often as it is taken."""
-    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return mixed.where("copies > 0").withColumn("_copy", times).drop("_copy")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    return mixed.where("copies > 0").select(F.struct("*").alias("row"), times).select("row.*")

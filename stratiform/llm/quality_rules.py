@@ -19,6 +19,7 @@ PRIOR = 50
 STEPS = 4
 BINS = 32
 KEYS = ("lang", "source")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _windows(w: Column) -> Column:
@@ -179,11 +180,15 @@ def judge_quality(docs: DataFrame, limit: float = FAR) -> DataFrame:
 
     A document is kept when it doesn't fail the base rules and its distance is within ``limit``. Null languages and
     sources are groups of their own; a group of one or of equal documents rejects nothing; repeated rows are judged
-    alike; an empty table gives an empty one; columns named like the new ones are replaced. Documents are stored with
-    their statistics, so that a text is read once and later expressions start from plain columns.
+    alike; an empty table gives an empty one; columns named like the new ones are replaced, all others come back as they
+    were, whatever their names: they travel as one column. Documents are stored with their statistics, so that a text is
+    read once and later expressions start from plain columns.
     """
-    rows = stored(with_statistics(docs), "quality")
-    return judged(rows, fit_groups(rows), limit)
+    given = docs.drop(*COUNTS, "base_failed", "d2", "kept")
+    rows = given.select(F.struct("*").alias("row"), *KEYS, "text")
+    rows = stored(with_statistics(rows).drop("text"), "quality")
+    out = judged(rows, fit_groups(rows), limit)
+    return out.select("row.*", *COUNTS, "base_failed", "d2", "kept")
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:

@@ -41,7 +41,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     The forms that rules have (labels of the host, length of the path) are read first; a URL is expanded into one
     expression per form, joined on a short prefix of its digest, and confirmed by the whole digest. Each distinct URL is
     looked up once. Null or malformed URLs have an empty host and path; repeated rows are all returned; an empty rule
-    table leaves the default everywhere; rules with a null part are left out. Columns named like the new ones are replaced.
+    table leaves the default everywhere; rules with a null part are left out. Columns named like the new ones are replaced,
+    all others come back as they were, whatever their names: they travel as one column.
     """
     rules = rules.select("host", "path", "verdict").where("host is not null and path is not null and verdict is not null")
     rules = rules.select(
@@ -53,10 +54,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     )
     # As many forms as rules differ in shape: labels of a host name times lengths of a path.
     forms = [tuple(row) for row in rules.select("_labels", "_length").distinct().collect()]
-    pages = pages.drop("host", "path", "rule", "verdict")
-    pages = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
+    others = [F.col(f"`{name}`") for name in pages.drop("host", "path", "rule", "verdict").columns]
+    given = F.col(f"`{url}`")
+    pages = pages.select(F.struct(*others).alias("row"), given.alias("url"), url_host(given).alias("host"), url_path(given).alias("path"))
     if not forms:
-        return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return pages.select("row.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     host, path = F.col("host"), F.col("path")
     dots = F.length("host") - F.length(F.replace(host, F.lit(".")))
     expressions = F.array(
@@ -68,16 +70,16 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
             for labels, length in sorted(forms)
         )
     )
-    looked_up = pages.select(F.col(url).alias("_url"), "host", "path").where(host != "").distinct()
+    looked_up = pages.select(F.col("url").alias("_url"), "host", "path").where(host != "").distinct()
     looked_up = looked_up.select("_url", F.explode(F.array_compact(expressions)).alias("_asked"))
     looked_up = looked_up.withColumn("_prefix", F.substring("_asked", 1, PREFIX))
     found = looked_up.join(rules.withColumn("_prefix", F.substring("_digest", 1, PREFIX)), "_prefix")
     found = found.where("_asked = _digest")
     best = F.max(F.struct(F.length("_rule").alias("size"), "verdict", F.col("_rule").alias("rule"))).alias("_best")
     found = found.groupBy("_url").agg(best)
-    out = pages.join(found, F.col(url) == F.col("_url"), "left")
-    out = out.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))})
-    return out.drop("_url", "_best")
+    out = pages.join(found, F.col("url") == F.col("_url"), "left")
+    verdict = F.coalesce("_best.verdict", F.lit(default)).alias("verdict")
+    return out.select("row.*", "host", "path", F.col("_best.rule").alias("rule"), verdict)
 
 
 def rules_table(spark, rules: list[tuple[str, str, str]]) -> DataFrame:
