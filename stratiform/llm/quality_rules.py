@@ -186,7 +186,7 @@ def judge_quality(docs: DataFrame, limit: float = FAR) -> DataFrame:
     """
     given = docs.drop(*COUNTS, "base_failed", "d2", "kept")
     rows = given.select(F.struct("*").alias("row"), *KEYS, "text")
-    rows = stored(with_statistics(rows).drop("text"), "quality")
+    rows = stored(with_statistics(rows).drop("text"), "quality", texts=True)
     out = judged(rows, fit_groups(rows), limit)
     return out.select("row.*", *COUNTS, "base_failed", "d2", "kept")
 

@@ -19,7 +19,16 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(ROWS, BATCH_ROWS)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+#: Parquet rows that a task gathers before it writes them, in bytes, for tables that carry whole texts.
+ROW_GROUP = 32 << 20
+
+
+def write_texts(df: DataFrame, folder: str) -> None:
+    """Writes a table of whole texts; a task holds a smaller row group of them than Spark's default of 128 MB."""
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(folder)
+
+
+def stored(df: DataFrame, label: str, texts: bool = False) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
     The result outlives its executors, and the shuffle files of the steps that made it go as soon as it is written.
@@ -28,7 +37,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(folder)
+        write_texts(df, folder) if texts else df.write.parquet(folder)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.parquet(folder)
