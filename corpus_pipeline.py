@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratiform.llm import mixing, ngram_join, pieces, quality_rules, suffix_dedup
+from stratiform.llm.stored import write_texts
 from stratiform.session import new_folder
 
 MODEL = os.environ.get("STRATIFORM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
-#: The model's fits, links and pieces have no form in SQL. Tests hold links, cuts, mixing and pieces against plain versions,
-#: and the stages in order against their rules.
+#: The model's fits, links and pieces have no form in SQL. A test holds every stage, row by row, against plain Python.
 ORACLE_SQL = None
 
 
@@ -63,6 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         folder = new_folder(spark, f"stage{i + 1}")
-        stage(spark, docs, sf_dir).write.parquet(folder)
+        write_texts(stage(spark, docs, sf_dir), folder)
         docs = spark.read.parquet(folder)
     return docs
