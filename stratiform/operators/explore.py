@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratiform.functions.casts import percent
+from stratiform.operators.rollup import running_total
 
 
 def summarize(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
@@ -30,15 +31,15 @@ def summarize(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFra
 
 
 def tabulate(df: DataFrame, column: str, digits: int = 2) -> DataFrame:
-    """Frequency, percentage and cumulative percentage of each value."""
+    """Frequency, percentage and cumulative percentage of each value; null comes first. Values are put in order over many tasks."""
     freq = df.groupBy(column).agg(F.count(F.lit(1)).alias("freq"))
-    upto = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    freq = running_total(freq, column, "freq", "upto")
     everything = freq.agg(F.sum("freq")).scalar()  # of the counted groups: no second scan
     return freq.select(
         column,
         "freq",
         percent(F.col("freq"), everything, digits).alias("pct"),
-        percent(F.sum("freq").over(upto), everything, digits).alias("cum_pct"),
+        percent(F.col("upto"), everything, digits).alias("cum_pct"),
     )
 
 

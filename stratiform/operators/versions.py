@@ -3,11 +3,14 @@
 A dataset is a folder of Parquet parts, one per commit that wrote data, and a log with one
 small file per commit. A version names the parts it is made of, so reading it touches no
 other part. Commits are expected from one writer at a time; a second one that takes the
-same version number fails when it writes the log entry.
+same version number fails when it writes the log entry. What a commit left that failed half
+way, a part without its entry or an entry that was never finished, is not read and is no
+hindrance to the next commit.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
@@ -85,9 +88,26 @@ class VersionedDataset:
         kinds = dict(part.strip().split(" ", 1) for part in LOG.split(", "))
         values = [F.lit(value).cast(kinds[name]).alias(name) for name, value in asdict(commit).items()]
         entry = self.spark.range(0, 1, 1, 1).select(*values)
-        entry.write.mode("error").parquet(f"{self.path}/log/{commit.version:012d}")
+        folder = f"{self.path}/log/{commit.version:012d}"
+        try:
+            entry.write.mode("error").parquet(folder)
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_ALREADY_EXISTS" or any(c.version == commit.version for c in self.commits()):
+                raise
+            entry.write.mode("overwrite").parquet(folder)  # an entry that was never finished
         return commit
 
+    def _write_part(self, df: DataFrame, number: int) -> int:
+        """Writes a part under the version's number, or under a random one where a failed commit left that folder."""
+        try:
+            df.write.mode("error").parquet(self._part(number))  # a late writer never replaces a part
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            number = random.SystemRandom().getrandbits(62)
+            df.write.mode("error").parquet(self._part(number))
+        return number
+
     def history(self) -> DataFrame:
         return self.log().select("version", "parent", "branch", "committed_at", "operation", "n_rows")
 
@@ -141,8 +161,8 @@ class VersionedDataset:
         number = commits[-1].version + 1 if commits else 1
         before = head if mode == "append" else None
         schema = _widen(before.schema, df.schema) if before else df.schema
-        df.write.mode("error").parquet(self._part(number))  # a late writer never replaces a part
-        written = self.spark.read.schema(df.schema).parquet(self._part(number)).count()  # from the footers
+        part = self._write_part(df, number)
+        written = self.spark.read.schema(df.schema).parquet(self._part(part)).count()  # from the footers
         return self._append(
             Commit(
                 number,
@@ -151,7 +171,7 @@ class VersionedDataset:
                 at or datetime.now(timezone.utc),
                 mode,
                 written + (before.n_rows if before else 0),
-                [*(before.parts if before else []), number],
+                [*(before.parts if before else []), part],
                 _ddl(schema),
             )
         )

@@ -10,6 +10,7 @@ FAMILIES = (
     "file_queries",
     "arrival_queries",
     "temporal_queries",
+    "rollup_queries",
     "version_queries",
 )
 

@@ -14,7 +14,7 @@ from stratiform.functions.text import normalize_category
 from stratiform.operators import drift, quality
 from stratiform.operators.cleaning import drop_duplicate_rows, drop_null_rows, first_per_key
 from stratiform.operators.enrich import CodeLookup, enrich_codes
-from stratiform.operators.gold import GoldSpec, headcount, headcount_by_sex, layer_counts, payroll_mass
+from stratiform.operators.gold import GoldSpec, headcount, headcount_by_sex, layer_counts, panel_summary, payroll_mass
 from stratiform.operators.headers import map_columns, rename_map
 from stratiform.operators.versions import VersionedDataset
 from stratiform.session import checkpointed
@@ -133,6 +133,37 @@ def validate(
     return reports
 
 
+def validate_payroll(
+    table: DataFrame,
+    columns: Sequence[str],
+    watched: Sequence[str],
+    agent: str = "matricule",
+    period: str = "periode",
+    category: str = "situation_normalisee",
+    amounts: tuple[str, str] = ("montant_net", "montant_brut"),
+) -> dict[str, DataFrame]:
+    """The whole set of controls of a payroll table, by file name.
+
+    Completeness of ``columns``; null rates by year of the ``watched`` columns, for those that are nearly empty in one year and
+    nearly full in another; every agent and period found more than once; net above gross; distribution of the categories; and the
+    extent of the table. A control whose columns the table lacks is left out.
+    """
+    found = set(table.columns)
+    reports = {"completude_colonnes_cles": quality.completeness(table, columns)}
+    if period in found:
+        by_year = quality.null_rate_by_year(table, watched, period)
+        suspect = quality.suspect_columns(table, watched, period).select("colonne")
+        reports["na_par_annee_colonnes_surveillees"] = by_year.join(suspect, "colonne", "left_semi")
+    if {agent, period} <= found:
+        reports["doublons_matricule_periode"] = quality.duplicate_keys(table, [agent, period], [agent])
+        reports["resume"] = panel_summary(table, agent, period)
+    if set(amounts) <= found:
+        reports["coherence_montants"] = quality.net_above_gross(table, *amounts)
+    if category in found:
+        reports["distribution"] = quality.distribution(table, category)
+    return reports
+
+
 def save_reports(reports: Mapping[str, DataFrame], folder: str) -> list[str]:
     return [name for name, report in reports.items() if write_report(report, f"{folder}/{name}")]
 
@@ -168,7 +199,12 @@ def gold(source: DataFrame, specs: Sequence[GoldSpec], export_folder: str | None
 
 
 def publish_extract(dataset: VersionedDataset, bronze: DataFrame, checks=(), branch: str = "transform-silver") -> bool:
-    """Clean an extract on a branch, audit it there, and show it on main only if it passes."""
+    """Clean an extract on a branch, audit it there, and show it on main only if it passes.
+
+    A new data set begins with an empty main, so that what is audited first is not yet shown.
+    """
+    if not dataset.branches():
+        dataset.commit(bronze.limit(0))
     dataset.create_branch(branch)
     dataset.commit(drop_null_rows(drop_duplicate_rows(bronze)), "overwrite", branch)
     published, _ = dataset.publish(branch, checks)

@@ -61,6 +61,13 @@ def test_generic_files_to_gold(spark, tmp_path):
     assert rows_of(jobs.gold(silver, [product])) == [("gold.generique_totaux", 2, 4)]
 
 
+def test_extract_of_a_new_data_set(spark, tmp_path):
+    bronze = spark.createDataFrame([("O1", "E")] * 2 + [("O2", None)], "ORGANISME string, EMPLOI string")
+    dataset = VersionedDataset(spark, str(tmp_path / "nouveau"))
+    assert jobs.publish_extract(dataset, bronze)
+    assert rows_of(dataset.read()) == [("O1", "E")]
+
+
 def test_extract_published_through_a_branch(spark, tmp_path):
     bronze = spark.createDataFrame(
         [("O1", "E", "G", "S", "1/2")] * 2 + [("O2", None, "G", "S", "1/2")],

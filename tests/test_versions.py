@@ -1,4 +1,5 @@
 from datetime import datetime, timezone
+from pathlib import Path
 
 import pytest
 
@@ -85,6 +86,19 @@ def test_a_taken_version_number_fails(spark, dataset):
         dataset._append(first)
 
 
+def test_a_commit_that_failed_half_way_is_no_hindrance(spark, dataset):
+    lost = spark.sql("SELECT 77 AS id, 'z' AS nom")
+    lost.write.parquet(dataset._part(3))  # the part without its entry
+    Path(dataset.path, "log", f"{3:012d}", "_temporary", "0").mkdir(parents=True)  # the entry, never finished
+    assert rows_of(dataset.read()) == [(1, "a"), (2, "b")]
+    assert dataset.commit(spark.sql("SELECT 3 AS id, 'c' AS nom"), at=at(6)).version == 3
+    assert dataset.commit(spark.sql("SELECT 4 AS id, 'd' AS nom"), at=at(7)).version == 4
+    assert rows_of(dataset.read()) == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+    assert rows_of(dataset.as_of_version(3)) == [(1, "a"), (2, "b"), (3, "c")]
+    assert rows_of(dataset.diff(2, 3)) == [(3, "c", "AJOUTE", 1)]
+    assert [r.version for r in dataset.history().orderBy("version").collect()] == [1, 2, 3, 4]
+
+
 def test_retention_keeps_heads(dataset):
     assert [r.version for r in dataset.retained(at(3)).collect()] == [2]
     assert [r.version for r in dataset.retained(at(30)).collect()] == [2]
