@@ -20,6 +20,8 @@ FEATURES = 5
 #: and so many times as often as in clean ones.
 SUPPORT, RATIO = 8, 20.0
 STEPS, RATE, DECAY = 60, 0.3, 1e-4
+#: Documents whose features are counted at a time.
+COUNTED = 256
 
 
 def word_features(column: pa.Array):
@@ -77,6 +79,15 @@ def marginals(scores: np.ndarray, first: np.ndarray, jumps: np.ndarray) -> np.nd
     return 1.0 / (1.0 + np.exp(-np.clip(forward + backward, -60, 60)))
 
 
+def _chance(ahead: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    x = ahead + behind
+    np.clip(x, -60, 60, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1.0
+    return np.divide(1.0, x, out=x)
+
+
 def pair_marginals(scores: np.ndarray, jumps: np.ndarray):
     """For stretches of equal length (rows x words): chances of state 1, and expected counts of the transitions."""
     rows, size = scores.shape
@@ -89,16 +100,30 @@ def pair_marginals(scores: np.ndarray, jumps: np.ndarray):
     for t in range(size - 2, -1, -1):
         odds = np.exp(np.clip(behind[t + 1] + scores[:, t + 1], -60, 60))
         behind[t] = np.log((weight[1, 0] + weight[1, 1] * odds) / (weight[0, 0] + weight[0, 1] * odds))
-    chance = 1.0 / (1.0 + np.exp(-np.clip(ahead + behind, -60, 60)))
+    chance = _chance(ahead, behind)
     counts = np.zeros((2, 2))
-    after = behind[1:] + scores.T[1:]
-    joint = {
-        (a, b): jumps[a, b] + a * ahead[:-1] + b * after for a in (0, 1) for b in (0, 1)
-    }
-    top = np.maximum.reduce(list(joint.values()))
-    total = sum(np.exp(x - top) for x in joint.values())
-    for key, x in joint.items():
-        counts[key] = (np.exp(x - top) / total).sum()
+    before = ahead[:-1]
+    behind += scores.T
+    after = behind[1:]
+    # One transition at a time: the four tables together would be the largest thing in the fit.
+    joint = lambda a, b: jumps[a, b] + a * before + b * after
+    steps = [(a, b) for a in (0, 1) for b in (0, 1)]
+    top = joint(*steps[0])
+    for step in steps[1:]:
+        np.maximum(top, joint(*step), out=top)
+
+    def weighed(step) -> np.ndarray:
+        x = joint(*step)
+        x -= top
+        return np.exp(x, out=x)
+
+    total = np.zeros_like(top)
+    for step in steps:
+        total += weighed(step)
+    for step in steps:
+        x = weighed(step)
+        x /= total
+        counts[step] = x.sum()
     return chance.T, counts
 
 
@@ -132,8 +157,13 @@ class Model:
 
 def _document_counts(slots: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """In how many rows each slot occurs."""
-    pairs = np.unique(np.concatenate([rows.astype(np.int64) * SLOTS + s for s in slots]))
-    return np.bincount(pairs % SLOTS, minlength=SLOTS)
+    out = np.zeros(SLOTS, dtype=np.int64)
+    # A row's words stand together, so rows are counted some at a time.
+    cuts = np.flatnonzero(np.diff(rows // COUNTED)) + 1
+    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
+        pairs = np.unique(np.concatenate([rows[i:j].astype(np.int64) * SLOTS + s[i:j] for s in slots]))
+        out += np.bincount(pairs % SLOTS, minlength=SLOTS)
+    return out
 
 
 def fit(texts: list[str | None], toxic: np.ndarray, share: float) -> Model:
@@ -154,14 +184,26 @@ def fit(texts: list[str | None], toxic: np.ndarray, share: float) -> Model:
     other = _document_counts(slots[:, ~in_toxic], row[~in_toxic])
     ratio = (held / toxic.sum()) / ((other + 0.5) / (~toxic).sum())
     telling = (held >= SUPPORT) & (ratio >= RATIO)
-    target = in_toxic & telling[slots].any(axis=0)
+    target = np.zeros(len(row), dtype=bool)
+    for feature in slots:
+        target |= telling[feature]
+    target &= in_toxic
+    del row, in_toxic
     usable = len(target) // SEGMENT * SEGMENT
     if not usable:
         slots, target = np.tile(slots, (1, SEGMENT)), np.tile(target, SEGMENT)
         usable = len(target) // SEGMENT * SEGMENT
     slots, target = slots[:, :usable], target[:usable].astype(float)
-    used, compact = np.unique(slots, return_inverse=True)
-    compact = compact.reshape(slots.shape)
+    held = np.zeros(SLOTS, dtype=bool)
+    for feature in slots:
+        held[feature] = True
+    used = np.flatnonzero(held)
+    # Places among the used slots, in the room of the slots themselves, which are made again for the last step.
+    places = np.zeros(SLOTS, dtype=np.int32)
+    places[used] = np.arange(len(used), dtype=np.int32)
+    compact = slots
+    for feature in compact:
+        feature[:] = places[feature]
     weights, bias, jumps = np.zeros(len(used)), -2.0, np.zeros((2, 2))
     wanted = target.reshape(-1, SEGMENT)
     seen = np.zeros((2, 2))
@@ -170,9 +212,13 @@ def fit(texts: list[str | None], toxic: np.ndarray, share: float) -> Model:
             seen[a, b] = ((wanted[:, :-1] == a) & (wanted[:, 1:] == b)).sum()
     squares, bias_square, jump_squares = np.full(len(used), 1e-8), 1e-8, np.full((2, 2), 1e-8)
     for _ in range(STEPS):
-        scores = bias + sum(weights[c] for c in compact)
+        scores = np.zeros(compact.shape[1])
+        for c in compact:
+            scores += weights[c]
+        scores += bias
         chance, counts = pair_marginals(scores.reshape(-1, SEGMENT), jumps)
         error = target - chance.reshape(-1)
+        del scores, chance
         slope = sum(np.bincount(c, error, minlength=len(used)) for c in compact) - DECAY * len(target) * 1e-2 * weights
         squares += slope**2
         weights += RATE * slope / np.sqrt(squares)
@@ -182,6 +228,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, share: float) -> Model:
         jump_slope = seen - counts
         jump_squares += jump_slope**2
         jumps += RATE * jump_slope / np.sqrt(jump_squares)
+    del slots, compact, error
     table = np.zeros(SLOTS)
     table[used] = weights
     model = Model(table, float(bias), jumps, np.zeros(3))
