@@ -88,7 +88,14 @@ def header_rows(preview: DataFrame, token: str | None = "matricule", depth: int
     return top.groupBy("path", "sheet", "sheet_no").agg(chosen.alias("header_row")).where("header_row is not null")
 
 
-def named_headers(preview: DataFrame, style: str, token: str | None, depth: int = 20, start: int = 1) -> DataFrame:
+def _join_headers(rows: DataFrame, headers: DataFrame, on, few: bool) -> DataFrame:
+    """Inner join with one row per sheet; ``few`` sheets, as those of a bounded batch, are broadcast without counting them."""
+    return rows.join(F.broadcast(headers), on) if few else lookup_join(rows, headers, on, "inner")
+
+
+def named_headers(
+    preview: DataFrame, style: str, token: str | None, depth: int = 20, start: int = 1, few: bool = False
+) -> DataFrame:
     """``(path, sheet_no, header_row, raw, names)``: one row per sheet, names clean and unique."""
 
     @F.pandas_udf("array<string>")
@@ -97,14 +104,36 @@ def named_headers(preview: DataFrame, style: str, token: str | None, depth: int
 
     found = header_rows(preview, token, depth).drop("sheet")
     cells = preview.select("path", "sheet_no", F.col("row_no").alias("header_row"), F.col("cells").alias("raw"))
-    return lookup_join(cells, found, ["path", "sheet_no", "header_row"], "inner").withColumn("names", names("raw"))
+    return _join_headers(cells, found, ["path", "sheet_no", "header_row"], few).withColumn("names", names("raw"))
+
+
+def stored_headers(
+    preview: DataFrame,
+    style: str,
+    token: str | None,
+    start: int = 1,
+    key: Column | None = None,
+    drop_key: Column | bool = False,
+    few: bool = False,
+) -> DataFrame:
+    """``named_headers`` with the place (from 1) of each sheet's ``key`` column, stored; ``drop_key`` takes its name away."""
+    headers = named_headers(preview, style, token, start=start, few=few)
+    at = (key if key is not None else F.lit(None)).cast("int")
+    headers = headers.withColumn("key", F.when(at > 0, at))
+    if drop_key is not False:
+        gone = lambda i: F.lit(drop_key) & (i + 1).eqNullSafe(F.col("key"))
+        headers = headers.withColumn("names", F.transform("names", lambda n, i: F.when(gone(i), F.lit(None)).otherwise(n)))
+    return checkpointed(headers)
 
 
-def all_names(headers: DataFrame) -> list[str]:
-    """Distinct names over all sheets, in order of first appearance; of spellings that differ by case the first one."""
-    seen = headers.select("path", F.posexplode("names").alias("pos", "name")).where("name IS NOT NULL")
-    first = seen.groupBy(F.lower("name").alias("folded")).agg(F.min(F.struct("path", "pos", "name")).alias("at"))
-    return [row.at.name for row in first.orderBy("at").collect()]
+def all_names(headers: DataFrame) -> dict[int, list[str]]:
+    """Distinct names over all files by sheet, in order of first appearance; of spellings that differ by case the first one."""
+    seen = headers.select("sheet_no", "path", F.posexplode("names").alias("pos", "name")).where("name IS NOT NULL")
+    first = seen.groupBy("sheet_no", F.lower("name").alias("folded")).agg(F.min(F.struct("path", "pos", "name")).alias("at"))
+    names: dict[int, list[str]] = {}
+    for row in sorted(first.collect(), key=lambda row: row.at):
+        names.setdefault(row.sheet_no, []).append(row.at.name)
+    return names
 
 
 def table_of(
@@ -117,26 +146,32 @@ def table_of(
     provenance: bool = True,
     key: Column | None = None,
     drop_key: bool = False,
+    few: bool = False,
 ) -> DataFrame:
     """One text column per header name over all files; a file without the column gives null.
 
     ``preview`` holds the first rows of each sheet, down to a filled one, or all rows. Its headers, one row per sheet, are
     stored. The place of each column is worked out once per sheet, so a data row only picks its cells. ``key``, over
     ``raw`` and ``names`` of a sheet's header, gives the place (from 1) of a column whose cells become ``_cle``;
-    ``drop_key`` leaves that column out of the others, file by file.
+    ``drop_key`` leaves that column out of the others, file by file. ``few``: the files are those of a bounded batch.
     """
-    preview = preview.filter(F.col("sheet_no") == sheet_no)
-    headers = named_headers(preview, style, token, start=start)
-    at = (key if key is not None else F.lit(None)).cast("int")
-    headers = headers.withColumn("key", F.when(at > 0, at))
-    if drop_key:
-        kept = F.transform("names", lambda n, i: F.when((i + 1).eqNullSafe(F.col("key")), F.lit(None)).otherwise(n))
-        headers = headers.withColumn("names", kept)
-    headers = checkpointed(headers)
-    names = all_names(headers)
+    headers = stored_headers(preview.filter(F.col("sheet_no") == sheet_no), style, token, start, key, drop_key, few)
+    return sheet_table(rows, headers, all_names(headers).get(sheet_no, []), sheet_no, provenance, key is not None, few)
+
+
+def sheet_table(
+    rows: DataFrame,
+    headers: DataFrame,
+    names: list[str],
+    sheet_no: int,
+    provenance: bool = True,
+    keyed: bool = False,
+    few: bool = False,
+) -> DataFrame:
+    """The table of one sheet, whose columns are ``names``, by the stored headers of that sheet or of several."""
     wanted = F.array(*[F.lit(name.lower()) for name in names]).cast("array<string>")
     folded = F.transform("names", lambda n: F.lower(n))
-    places = headers.withColumn("names", folded).select(
+    places = headers.filter(F.col("sheet_no") == sheet_no).withColumn("names", folded).select(
         "path",
         "header_row",
         (F.col("key") - 1).alias("key"),
@@ -144,7 +179,7 @@ def table_of(
     )
     data = rows.filter((F.col("sheet_no") == sheet_no) & F.col("error").isNull())
     picked = (
-        lookup_join(data, places, "path", "inner")
+        _join_headers(data, places, "path", few)
         .filter(F.col("row_no") > F.col("header_row"))
         .filter(F.exists("cells", lambda c: c.isNotNull()))
         .select(
@@ -153,6 +188,6 @@ def table_of(
             F.transform("places", lambda i: F.get(F.col("cells"), i)).alias("v"),
         )
     )
-    extra = ["_cle"] if key is not None else []
+    extra = ["_cle"] if keyed else []
     table = picked.select("path", *extra, *[F.col("v")[i].alias(name) for i, name in enumerate(names)])
     return add_provenance(table, "path").drop("path") if provenance else table.drop("path")

@@ -124,14 +124,21 @@ def probe_headers(spark: SparkSession, path: str | Sequence[str], sep: str = ","
     ``types`` and ``lignes`` are those of a Parquet footer; ``en_tete`` says whether a CSV file begins with its header,
     and not with a record of empty cells.
     """
-    files = list_files(spark, path, ["parquet", "csv"]).filter("taille > 0").select("path", "extension")
-    ship_package(spark)
-    return files.mapInPandas(_probe(sep, encoding), _PROBED)
+    return probe_files(list_files(spark, path, ["parquet", "csv"]).filter("taille > 0"), sep, encoding)
 
 
-def file_errors(spark: SparkSession, path: str | Sequence[str], sep: str = ",", encoding: str = "utf-8") -> DataFrame:
-    """``(path, error)`` of the Parquet and CSV files whose header could not be read."""
-    return probe_headers(spark, path, sep, encoding).where("erreur IS NOT NULL").select("path", F.col("erreur").alias("error"))
+def probe_files(files: DataFrame, sep: str = ",", encoding: str = "utf-8") -> DataFrame:
+    """``probe_headers`` of files that are listed already, as ``(path, extension)``."""
+    ship_package(files.sparkSession)
+    return files.select("path", "extension").mapInPandas(_probe(sep, encoding), _PROBED)
+
+
+def file_errors(
+    spark: SparkSession, path: str | Sequence[str], sep: str = ",", encoding: str = "utf-8", probed: DataFrame | None = None
+) -> DataFrame:
+    """``(path, error)`` of the Parquet and CSV files whose header could not be read; ``probed``: their headers, if known."""
+    probed = probe_headers(spark, path, sep, encoding) if probed is None else probed
+    return probed.where("erreur IS NOT NULL").select("path", F.col("erreur").alias("error"))
 
 
 def _text_reader(spark: SparkSession, sep: str, encoding: str, multiline: bool):
@@ -162,20 +169,28 @@ def _with_line_breaks(spark: SparkSession, path: str | Sequence[str], encoding:
     return rows.select("path").distinct()
 
 
-def _layouts(spark: SparkSession, path: str | Sequence[str], sep: str, encoding: str, multiline: bool | None) -> list:
+def _layouts(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    sep: str,
+    encoding: str,
+    multiline: bool | None,
+    probed: DataFrame | None = None,
+) -> list:
     """The CSV files of each distinct header, apart by how they must be read.
 
     ``sauts``: line breaks inside quotes, so that a file is read whole. ``en_tete`` false: records of empty cells come
     before the header, which Spark would take for it.
     """
-    probed = probe_headers(spark, path, sep, encoding).filter("extension = 'csv' AND erreur IS NULL")
+    probed = probe_headers(spark, path, sep, encoding) if probed is None else probed
+    probed = probed.filter("extension = 'csv' AND erreur IS NULL")
     if multiline is None:
         broken = _with_line_breaks(spark, path, encoding).withColumn("sauts", F.lit(True))
         probed = probed.join(broken, "path", "left").withColumn("sauts", F.coalesce("sauts", F.lit(False)))
     else:
         probed = probed.withColumn("sauts", F.lit(multiline))
     files = probed.groupBy("noms", "sauts", "en_tete").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    return files.orderBy("paths").collect()
+    return sorted(files.collect(), key=lambda layout: layout.paths)
 
 
 def decode_csv(content: bytes, sep: str = ",", encoding: str = "utf-8") -> Iterator[tuple]:
@@ -207,6 +222,7 @@ def read_csv_strings(
     style: str | None = None,
     provenance: bool = False,
     multiline: bool | None = None,
+    probed: DataFrame | None = None,
 ) -> DataFrame:
     """Every CSV file below a path as text columns, united by name.
 
@@ -215,12 +231,14 @@ def read_csv_strings(
     Line breaks inside quotes belong to their cell; files that may hold some are found first (``multiline`` None)
     and read whole, the others in splits. Records of empty cells above the header are no data.
     Cells beyond the header have no column: ``surplus_cells`` counts them, and ``file_errors`` lists the files left out.
+    ``probed`` holds the headers of a bounded batch of files, if they are known.
     """
     frames = []
-    for layout in _layouts(spark, path, sep, encoding, multiline):
+    for layout in _layouts(spark, path, sep, encoding, multiline, probed):
         if not layout.en_tete:
             rows = _csv_cells(spark, layout.paths, sep, encoding)
-            frames.append(table_of(rows, rows, 1, style or "raw", token=None, provenance=provenance))
+            few = probed is not None
+            frames.append(table_of(rows, rows, 1, style or "raw", token=None, provenance=provenance, few=few))
             continue
         # Names only become final after cleaning: positions keep duplicates apart.
         frame = _csv_frame(spark, layout, sep, encoding)
@@ -269,17 +287,24 @@ def surplus_cells(
 
 
 def read_parquet_strings(
-    spark: SparkSession, path: str | Sequence[str], style: str, sep: str = ",", encoding: str = "utf-8", provenance: bool = True
+    spark: SparkSession,
+    path: str | Sequence[str],
+    style: str,
+    sep: str = ",",
+    encoding: str = "utf-8",
+    provenance: bool = True,
+    probed: DataFrame | None = None,
 ) -> DataFrame:
     """Every Parquet file below a path as text columns, united by cleaned name.
 
     Files are read once per distinct schema, so a column whose type, spelling or place changes between files keeps its
-    values. Damaged files are left out; ``file_errors`` lists them.
+    values. Damaged files are left out; ``file_errors`` lists them. ``probed``: their headers, if known.
     """
-    probed = probe_headers(spark, path, sep, encoding).filter("extension = 'parquet' AND erreur IS NULL")
+    probed = probe_headers(spark, path, sep, encoding) if probed is None else probed
+    probed = probed.filter("extension = 'parquet' AND erreur IS NULL")
     layouts = probed.groupBy("noms", "types").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     frames = []
-    for layout in layouts.orderBy("paths").collect():
+    for layout in sorted(layouts.collect(), key=lambda layout: layout.paths):
         rows = spark.read.parquet(*layout.paths)
         texts = [
             F.col(f"`{old}`").cast("string").alias(new) for old, new in zip(rows.columns, clean_names(rows.columns, style))

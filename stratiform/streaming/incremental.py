@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -10,16 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratiform.functions.casts import to_strings
-from stratiform.functions.text import file_name, file_stem, metadata_path
+from stratiform.functions.text import file_extension, file_name, file_stem, metadata_path
+from stratiform.session import checkpointed
 from stratiform.sources.cells import error_report, table_of
-from stratiform.sources.files import file_errors, read_csv_strings, read_parquet_strings
+from stratiform.sources.files import file_errors, probe_files, read_csv_strings, read_parquet_strings
 from stratiform.sources.workbook import decoded, two_sheets_of
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 #: Folder of a batch; a cleaned column name never ends in two underscores.
 BATCH = "lot__"
 
-#: From the new files of a batch (``path, content``) to their rows as text and ``(path, error)`` of the others.
+#: From the new files of a batch (``path, length, content``) to their rows as text and ``(path, error)`` of the others.
 Reader = Callable[[DataFrame], tuple[DataFrame | None, DataFrame]]
 
 
@@ -69,20 +71,22 @@ def workbook_reader(style: str = "prefix_strip", token: str | None = "matricule"
 
     def read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = decoded(files, None if pairs else 1)
-        table = two_sheets_of(rows, style, token) if pairs else table_of(rows, rows, 1, style, token)
+        table = two_sheets_of(rows, style, token, few=True) if pairs else table_of(rows, rows, 1, style, token, few=True)
         return table, error_report(rows)
 
     return read
 
 
-def _path_reader(read_paths: Callable[[SparkSession, list[str]], DataFrame], sep: str, encoding: str) -> Reader:
-    """A reader by path, so that contents are only read by Spark's own readers."""
+def _path_reader(read_paths: Callable[[SparkSession, list[str], DataFrame], DataFrame], sep: str, encoding: str) -> Reader:
+    """A reader by path, so that contents are only read by Spark's own readers; headers are probed once and stored."""
 
     def read(files: DataFrame) -> tuple[DataFrame | None, DataFrame]:
         paths = [row.path for row in files.select("path").collect()]  # the files of a batch
-        errors = file_errors(files.sparkSession, paths, sep, encoding)
+        listed = files.where("length > 0").select("path", file_extension(F.col("path")).alias("extension"))
+        probed = checkpointed(probe_files(listed.where(F.col("extension").isin("parquet", "csv")), sep, encoding))
+        errors = file_errors(files.sparkSession, paths, sep, encoding, probed)
         try:
-            return read_paths(files.sparkSession, paths), errors
+            return read_paths(files.sparkSession, paths, probed), errors
         except FileNotFoundError:  # every file is in the errors
             return None, errors
 
@@ -91,12 +95,16 @@ def _path_reader(read_paths: Callable[[SparkSession, list[str]], DataFrame], sep
 
 def csv_reader(sep: str = ",", encoding: str = "utf-8", style: str = "ascii") -> Reader:
     """CSV files whose columns differ from file to file."""
-    return _path_reader(lambda spark, paths: read_csv_strings(spark, paths, sep, encoding, style, provenance=True), sep, encoding)
+
+    def read_paths(spark: SparkSession, paths: list[str], probed: DataFrame) -> DataFrame:
+        return read_csv_strings(spark, paths, sep, encoding, style, provenance=True, probed=probed)
+
+    return _path_reader(read_paths, sep, encoding)
 
 
 def parquet_reader(style: str = "ascii") -> Reader:
     """Parquet files whose columns and types differ from file to file."""
-    return _path_reader(lambda spark, paths: read_parquet_strings(spark, paths, style), ",", "utf-8")
+    return _path_reader(lambda spark, paths, probed: read_parquet_strings(spark, paths, style, probed=probed), ",", "utf-8")
 
 
 def _of_cluster(problem: Exception) -> bool:
@@ -122,6 +130,18 @@ def _apart(files: DataFrame, read: Reader) -> tuple[DataFrame | None, DataFrame]
     return table, failed if errors is None else errors.unionAll(failed)
 
 
+@contextmanager
+def _listing_by_cores(spark: SparkSession) -> Iterator[None]:
+    """Files of a batch are listed by as many tasks as there are cores, not by one task a file."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), max(spark.sparkContext.defaultParallelism, 1))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _spelled_as(table: DataFrame, target: str) -> DataFrame:
     """Columns as the target spells them already, where only case differs."""
     if all(name == name.upper() for name in table.columns):
@@ -163,7 +183,7 @@ def ingest_drifting(
             _spelled_as(table, target).write.mode("overwrite").parquet(f"{target}/{BATCH}={number}")
 
     def take(batch: DataFrame, number: int) -> None:
-        files = batch.select("path", "content")
+        files = batch.select("path", "length", "content")
         try:
             write(*read(files), number)
         except Exception as problem:
@@ -179,6 +199,7 @@ def ingest_drifting(
         .option("maxFilesPerTrigger", str(files_per_batch))
         .load(source)
     )
-    run = stream.writeStream.foreachBatch(take).option("checkpointLocation", state).trigger(availableNow=True).start()
-    run.awaitTermination()
+    with _listing_by_cores(spark):
+        run = stream.writeStream.foreachBatch(take).option("checkpointLocation", state).trigger(availableNow=True).start()
+        run.awaitTermination()
     return read_batches(spark, target, ["PERIODE", "FICHIER_SOURCE"]), read_batches(spark, errors, ["path", "error", "fichier"])

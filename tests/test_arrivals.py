@@ -142,3 +142,32 @@ def test_text_files_as_they_arrive(spark, tmp_path, monkeypatch):
         out.write_parquet(spark.sql(sql), str(tmp_path / f"pin/{number}"))
         table, errors = ingest_drifting(spark, *places, parquet_reader(), glob="*.parquet")
     assert rows_of(table.select("ID", "V", "W")) == [("1", "x", None), ("b", None, "3")]
+
+
+def test_a_batch_takes_few_jobs(spark, tmp_path):
+    """Headers of a batch are found for both sheets at once and broadcast uncounted; a batch is listed by cores, probed once."""
+    for number in range(40):
+        put(tmp_path / "in", f"m{number:02d}.xlsx", book([["Matricule", "Nom"], [f"a{number}", "x"]], [["MATRICULE||C", "101"], [f"a{number}", 7]]))
+        put(tmp_path / "csv", f"m{number:02d}.csv", b"id,nom\n1,x\n" if number % 2 else b"\n,\nid,nom\n1,y\n")
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, seen = spark.conf.get(setting), []
+
+    def counted(read, group):
+        def counting(found):
+            seen.append(int(found.sparkSession.conf.get(setting)))
+            context.setJobGroup(group, group)
+            table, bad = read(found)
+            table.write.format("noop").mode("overwrite").save()
+            seen.append(len(tracker.getJobIdsForGroup(group)))
+            return table, bad
+
+        return counting
+
+    for group, read, glob, jobs_at_most in (("in", workbook_reader(pairs=True), "*.xlsx", 14), ("csv", csv_reader(), "*.csv", 20)):
+        places = [str(tmp_path / name) for name in (group, f"{group}_out", f"{group}_errors", f"{group}_state")]
+        table, errors = ingest_drifting(spark, *places, counted(read, group), glob=glob, files_per_batch=40)
+        assert table.count() == 40 and errors.count() == 0
+        tasks, jobs_run = seen[-2:]
+        assert tasks <= context.defaultParallelism and 0 < jobs_run <= jobs_at_most, seen
+    assert spark.conf.get(setting) == before
