@@ -171,3 +171,22 @@ def test_a_batch_takes_few_jobs(spark, tmp_path):
         tasks, jobs_run = seen[-2:]
         assert tasks <= context.defaultParallelism and 0 < jobs_run <= jobs_at_most, seen
     assert spark.conf.get(setting) == before
+
+
+def test_sheet_elements_are_taken_from_the_tree_piece_by_piece():
+    """Every row that is read to its end is given once, also before an error, and leaves the tree."""
+    from io import BytesIO
+    from xml.etree import ElementTree
+
+    body = "".join(f'<row r="{r}"><c r="B{r}"><v>{r}</v></c></row>' for r in range(1, 2_001))
+    head = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><cols><col/></cols><sheetData>'
+    rows = list(workbook._sheet_rows(BytesIO(f"{head}{body}</sheetData><mergeCells/></worksheet>".encode()), str))
+    assert rows == [(r, [None, f"{r}"]) for r in range(1, 2_001)]
+    seen = []
+    with pytest.raises(ElementTree.ParseError):
+        for row in workbook._elements(BytesIO(f"{head}{body}</bad>".encode()), lambda tag: tag.endswith("}row")):
+            seen.append(row.get("r"))
+    assert seen == [f"{r}" for r in range(1, 2_001)]
+    tree = ElementTree.fromstring(f"{head}{body}</sheetData></worksheet>")
+    left = workbook._finished(tree, lambda tag: tag.endswith("}row"), False)
+    assert len(list(left)) == 1_999 and len(tree) == 1 and len(tree[0]) == 1
