@@ -7,7 +7,8 @@ as many left as a link between their sizes must share. Lists of one document are
 then linked in rounds. While the lists hold many pairs, a round compares a document with a few leaders of each of its
 lists, so a group of copies costs some rows a copy and not one a pair; documents that find others in most of their lists
 lead, as the text that copies were made from does. The last round takes all pairs that meet and whose documents are
-still in different components. All rounds check pairs by their whole sets.
+still in different components. All rounds drop pairs that can't be links by the parities of their sets, and check the others by
+their whole sets.
 """
 
 from __future__ import annotations
@@ -74,7 +75,27 @@ def _first_of_copies(ids: list, sets: list[np.ndarray], digests: list) -> list[i
     return list(best.values())
 
 
-SIGNED = "doc_id long, n_shingles long, high long, low long, tokens array<struct<token: long, n: long>>, met double"
+def _parities(tokens: np.ndarray) -> bytes:
+    """For each of as many slots as the set has tokens, or up to twice as many, whether an odd number of them falls there.
+
+    Tokens that two sets share cancel out: their parities differ in no more slots than there are tokens in one set only.
+    """
+    slots = 1 << max(6, (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Slots in which parities differ; those of the larger set are folded to as few slots as the other has."""
+    x, y = sorted((x, y), key=len)
+    slots, a, b = 8 * len(y), int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    while slots > 8 * len(x):
+        slots //= 2
+        b = (b >> slots) ^ (b & ((1 << slots) - 1))
+    return (a ^ b).bit_count()
+
+
+SIGNED = "doc_id long, n_shingles long, high long, low long, parities binary, tokens array<struct<token: long, n: long>>, met double"
 
 
 #: Tokens that a task counts together, and the size that marks a row of counts among the signatures.
@@ -82,7 +103,8 @@ TOGETHER, COUNTS = 1 << 21, -1
 
 
 def _sign(n: int):
-    """Size and digest of every row, and rows of the tokens that a task has met repeatedly, in bounded groups."""
+    """Size and digest of every row, parities once for each distinct set of a batch, and rows of the tokens that a task has
+    met repeatedly, in bounded groups."""
 
     def counted(held):
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -91,19 +113,20 @@ def _sign(n: int):
             [pa.array(tokens[counts > 1].view(np.int64)), pa.array(counts[counts > 1].astype(np.int64))], names=["token", "n"]
         )
         more = pa.ListArray.from_arrays(pa.array([0, len(more)], pa.int32()), more)
-        return row_of([None], [COUNTS], [0], [0], more, [met])
+        return row_of([None], [COUNTS], [0], [0], [None], more, [met])
 
-    def row_of(ids, sizes, high, low, tokens, met):
+    def row_of(ids, sizes, high, low, parities, tokens, met):
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()),
                 pa.array(sizes, pa.int64()),
                 pa.array(high, pa.int64()),
                 pa.array(low, pa.int64()),
+                pa.array(parities, pa.binary()),
                 tokens,
                 pa.array(met, pa.float64()),
             ],
-            names=["doc_id", "n_shingles", "high", "low", "tokens", "met"],
+            names=["doc_id", "n_shingles", "high", "low", "parities", "tokens", "met"],
         )
 
     def sign(batches):
@@ -111,11 +134,14 @@ def _sign(n: int):
         for batch in batches_of(batches):
             ids, sets = batch.column("doc_id").to_pylist(), whole_sets(batch.column("text"), n)
             digests = [_digest(x) for x in sets]
-            new = [sets[i] for i in _first_of_copies(ids, sets, digests)]
+            first = _first_of_copies(ids, sets, digests)
+            new, parities = [sets[i] for i in first], [None] * len(ids)
+            for i in first:
+                parities[i] = _parities(sets[i])
             held, seen = held + new, seen + sum(map(len, new))
             none = pa.nulls(len(ids), pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())])))
             high, low = [d[0] for d in digests], [d[1] for d in digests]
-            yield row_of(ids, [len(x) for x in sets], high, low, none, [None] * len(ids))
+            yield row_of(ids, [len(x) for x in sets], high, low, parities, none, [None] * len(ids))
             if seen > TOGETHER:
                 yield counted(held)
                 held, seen = [], 0
@@ -254,10 +280,31 @@ def _check(batches):
         yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
 
-def checked(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """The pairs (``x``, ``y``) that are links, as ``a`` and ``b``."""
+def _can_link(batches):
+    """Pairs whose parities differ in no more slots than the sets of a link of their sizes have tokens apart."""
+    for batch in batches:
+        keep = []
+        for x_size, y_size, x, y in zip(*(batch.column(c).to_pylist() for c in ("x_size", "y_size", "x_parities", "y_parities"))):
+            least = -(-OVER * (x_size + y_size) // (OVER + UNDER))
+            keep.append(differing(x, y) <= x_size + y_size - 2 * least)
+        yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+
+def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (``x``, ``y``) of representatives that can be links by the parities of their sets; loses no link.
+
+    Parities take a bit or two a token, so whole sets move for few pairs besides the links.
+    """
+    side = lambda name: classes.select(
+        F.col("rep").alias(name), F.col("n_shingles").alias(f"{name}_size"), F.col("parities").alias(f"{name}_parities")
+    )
+    return pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_can_link, "x long, y long").distinct()
+
+
+def checked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """The pairs (``x``, ``y``) of representatives that are links, as ``a`` and ``b``."""
     spark = docs.sparkSession
-    pairs = stored(pairs.select("x", "y"), "pairs")
+    pairs = stored(possible(pairs.select("x", "y"), classes), "pairs")
     ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
     slots = ids.mapInArrow(_slots_of, "slot long")
     slots = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(
@@ -377,7 +424,9 @@ def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     signed = stored(docs.mapInArrow(_sign(n), SIGNED), "signatures")
     counts, signed = signed.where(F.col("n_shingles") == COUNTS), signed.where(F.col("n_shingles") != COUNTS)
     key = ["n_shingles", "high", "low"]
-    classes = signed.where("doc_id is not null and n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    classes = signed.where("doc_id is not null and n_shingles > 0").groupBy(*key).agg(
+        F.min("doc_id").alias("rep"), F.first("parities", ignorenulls=True).alias("parities")
+    )
     classes = stored(classes, "classes")
 
     frequent = counts.select(F.inline("tokens")).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
@@ -394,7 +443,7 @@ def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     lists = docs.mapInArrow(_list(n, limit, frequent), LISTED)
     lists = lists.repartition("token").sortWithinPartitions("token").mapInArrow(_shared_only, LISTED)
     # A class stands in the lists by its representative only.
-    ids = signed.where("doc_id is not null and n_shingles > 0").join(classes, key).select("doc_id", "rep").distinct()
+    ids = signed.where("doc_id is not null and n_shingles > 0").join(classes.select(*key, "rep"), key).select("doc_id", "rep").distinct()
     several = ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     same = ids.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     same = same.join(several.select(F.col("doc_id").alias("a")), "a", "left_semi").unionAll(several.select("a", "b"))
@@ -408,7 +457,7 @@ def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     # Rounds of leaders: each document of a long list against a few of them, among documents of about its size.
     links, number, gained = stored(same, "same"), 0, 0
     while not held.where(F.col("pairs") > MANY).isEmpty():
-        fresh = checked(docs, _with_leaders(held, number), n)
+        fresh = checked(docs, _with_leaders(held, number), classes, n)
         merged, new = stored(links.unionAll(fresh).distinct(), "links"), fresh.count()
         before, links = held, merged
         held, number, gained = _open_lists(_with_components(held, components(links))), number + 1, gained + new
@@ -417,7 +466,7 @@ def link_documents(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
             break
 
     # Last round: all pairs of different components that can be linked.
-    links = stored(checked(docs, _between(held), n).unionAll(links), "links")
+    links = stored(checked(docs, _between(held), classes, n).unionAll(links), "links")
     discard(held)
     found = components(links)
 

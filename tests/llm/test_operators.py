@@ -156,6 +156,29 @@ def test_links_by_all_pairs(spark, monkeypatch, many):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_pairs_that_parities_drop(spark):
+    """Pairs that go on to the check by whole sets hold all links and few others; sizes lie on both sides of a power of two."""
+    draw = random.Random(3)
+    texts = []
+    for size in (12, 34, 70, 130, 260, 600):
+        base = [f"z{size}w{k}" for k in range(size)]
+        for edits in (0, 0, 1, 1, 2, 3, size // 60, size // 30, size // 4):
+            copy = list(base)
+            for _ in range(edits):
+                copy[draw.randrange(len(copy))] = f"n{draw.randrange(10**6)}"
+            texts.append(" ".join(copy[: len(copy) - draw.randrange(3)]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    signed = rows.mapInArrow(ngram_join._sign(ngram_join.SHINGLE), ngram_join.SIGNED).where("n_shingles > 0")
+    classes = signed.select(F.col("doc_id").alias("rep"), "n_shingles", "parities").where("parities is not null")
+    kept = [r["rep"] for r in classes.collect()]
+    pairs = spark.createDataFrame([(i, j) for i in kept for j in kept if i < j], "x long, y long")
+    got = {(r["x"], r["y"]) for r in ngram_join.possible(pairs, classes).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    links = {(i, j) for i in kept for j in kept if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert links and links <= got
+    assert 10 * len(got) < len(kept) * (len(kept) - 1) / 2
+
+
 def test_repeated_strings(docs):
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.where("doc_id is not null").collect()), key=lambda r: r[0])
     first, expected = {}, []
