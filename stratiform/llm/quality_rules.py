@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratiform.llm.stored import stored
+from stratiform.llm.stored import discard, stored
 from stratiform.llm.words import words
-from stratiform.session import checkpointed
 
 # Fixed values, for four dimensions: the part of each group that the estimate rests on, the factor that makes the
 # covariance of that part consistent, and chi-square quantiles at 0.975 (reweighting) and at one in a million (rejection).
 PART, FACTOR, NEAR, FAR = 0.5, 2.109, 11.143, 33.377
 STATISTICS = ("x0", "x1", "x2", "x3")
+SIZE = len(STATISTICS)
+PAIRS = [(i, j) for i in range(SIZE) for j in range(i, SIZE)]
 #: Spread that each statistic has at least, so that a group of equal documents doesn't reject small differences.
 SPREAD = (0.35, 0.04, 0.06, 0.15)
 PRIOR = 50
@@ -105,8 +106,8 @@ def _distance() -> tuple[dict[tuple[int, int], Column], list[Column]]:
     return factor, solved
 
 
-def _with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Adds ``d2`` to every row; the groups' estimates are joined null-safe."""
+def _with_distance(rows: DataFrame, estimates: DataFrame, differences: bool = False) -> DataFrame:
+    """Adds ``d2`` to every row; the groups' estimates are joined null-safe. The middle and the differences from it may stay."""
     factor, solved = _distance()
     held = estimates.select(*(F.col(k).alias(f"_{k}") for k in KEYS), *(c for c in estimates.columns if c not in KEYS))
     for (i, j), value in factor.items():
@@ -119,31 +120,45 @@ def _with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     for i, value in enumerate(solved):
         out = out.withColumn(f"y{i}", value)
     d2 = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, len(solved))), F.col("y0") * F.col("y0"))
-    return out.withColumn("d2", d2).drop(*names, *(f"_{k}" for k in KEYS), *(f"y{i}" for i in range(len(solved))))
+    out = out.withColumn("d2", d2)
+    if differences:
+        out = out.withColumns({f"e{i}": F.col(x) - F.col(f"m{i}") for i, x in enumerate(STATISTICS)})
+        names = [c for c in names if c[0] != "m"]
+    return out.drop(*names, *(f"_{k}" for k in KEYS), *(f"y{i}" for i in range(len(solved))))
 
 
 def _bin(d2: Column) -> Column:
     return F.least(F.floor(F.log2(d2 + 2.0**-20) * BINS), F.lit(200 * BINS)).cast("int")
 
 
-def _near_part(rows: DataFrame) -> DataFrame:
-    """The bin of distances that holds the wanted part of each group, from exact counts of a bounded number of bins."""
-    counts = rows.groupBy(*KEYS, "_bin").agg(F.count("*").alias("n"))
-    up_to = F.sum("n").over(Window.partitionBy(*KEYS).orderBy("_bin"))
-    total = F.sum("n").over(Window.partitionBy(*KEYS))
-    counts = counts.select(*KEYS, "_bin", up_to.alias("_up_to"), total.alias("_total"))
-    return counts.where(F.col("_up_to") >= PART * F.col("_total")).groupBy(*KEYS).agg(F.min("_bin").alias("_edge"))
+def _moments(near: DataFrame, *by: str) -> DataFrame:
+    """Rows, and sums of their differences ``e0`` to ``e3`` from the group's middle and of the products of these."""
+    return near.groupBy(*KEYS, *by).agg(
+        F.count("e0").alias("n"),
+        *(F.max(f"m{i}").alias(f"m{i}") for i in range(SIZE)),
+        *(F.sum(f"e{i}").alias(f"s{i}") for i in range(SIZE)),
+        *(F.sum(F.col(f"e{i}") * F.col(f"e{j}")).alias(f"p{i}{j}") for i, j in PAIRS),
+    )
+
+
+def _near_part(bins: DataFrame) -> DataFrame:
+    """The nearest bins of each group, up to the one in which the wanted part of its rows is reached, put together."""
+    each = Window.partitionBy(*KEYS)
+    before = F.coalesce(F.sum("n").over(each.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.select("*", before.alias("_before"), F.sum("n").over(each).alias("_total"))
+    sums = ["n", *(f"s{i}" for i in range(SIZE)), *(f"p{i}{j}" for i, j in PAIRS)]
+    whole = [*(F.max(f"m{i}").alias(f"m{i}") for i in range(SIZE)), *(F.sum(c).alias(c) for c in sums)]
+    return bins.where(F.col("_before") < PART * F.col("_total")).groupBy(*KEYS).agg(*whole)
 
 
-def _estimates(rows: DataFrame, use: Column, factor: float) -> DataFrame:
-    """Mean and covariance of the rows in use; every spread is at least the stated one."""
-    given = lambda c: F.when(use, c)
-    out = [F.coalesce(F.avg(given(F.col(x))), F.lit(0.0)).alias(f"m{i}") for i, x in enumerate(STATISTICS)]
-    for i, x in enumerate(STATISTICS):
-        for j in range(i, len(STATISTICS)):
-            value = F.coalesce(F.covar_pop(given(F.col(x)), given(F.col(STATISTICS[j]))), F.lit(0.0)) * factor
-            out.append((value + (SPREAD[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}"))
-    return rows.groupBy(*KEYS).agg(*out)
+def _estimates(sums: DataFrame, factor: float) -> DataFrame:
+    """Mean and covariance from the sums of a group; every spread is at least the stated one."""
+    per_row = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
+    out = [F.coalesce(F.col(f"m{i}") + per_row(f"s{i}"), F.lit(0.0)).alias(f"m{i}") for i in range(SIZE)]
+    for i, j in PAIRS:
+        value = F.coalesce(per_row(f"p{i}{j}") - per_row(f"s{i}") * per_row(f"s{j}"), F.lit(0.0)) * factor
+        out.append((value + (SPREAD[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}"))
+    return sums.select(*KEYS, *out)
 
 
 def fit_groups(stats: DataFrame) -> DataFrame:
@@ -152,6 +167,8 @@ def fit_groups(stats: DataFrame) -> DataFrame:
     Concentration steps start from all rows, with the statistics cut at their group's quartiles' reach by the first
     distance; each step keeps the nearest half of a group, so that a third of it may be copies of one odd text, and
     estimates anew, which never raises the determinant. A last step takes every row within the 0.975 quantile. Estimates are one row a group.
+    They are stored tables, whose size Spark knows: that of a checkpoint behind a join counts as a product of sizes, for which each step
+    would shuffle all rows and fill Bloom filters of megabytes that every task then carries.
     """
     rows = stats.where("n_words > 0").select(*KEYS, *STATISTICS)
     middle = [F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(STATISTICS)]
@@ -161,18 +178,19 @@ def fit_groups(stats: DataFrame) -> DataFrame:
         for j in range(i, len(STATISTICS))
     ]
     estimates = rows.groupBy(*KEYS).agg(*middle).select("*", *start)
+    held = []
     for step in range(STEPS):
-        near = _with_distance(rows, checkpointed(estimates)).withColumn("_bin", _bin(F.col("d2")))
+        held.append(stored(estimates, "estimates"))
+        near = _with_distance(rows, held[-1], differences=True)
         if step < STEPS - 1:
-            edges = _near_part(near).select(*(F.col(k).alias(f"_{k}") for k in KEYS), "_edge")
-            match = F.lit(True)
-            for key in KEYS:
-                match = match & F.col(key).eqNullSafe(F.col(f"_{key}"))
-            near = near.join(edges, match).drop(*(f"_{k}" for k in KEYS))
-            estimates = _estimates(near, F.col("_bin") <= F.col("_edge"), FACTOR)
+            sums = _near_part(_moments(near.withColumn("_bin", _bin(F.col("d2"))), "_bin"))
+            estimates = _estimates(sums, FACTOR)
         else:
-            estimates = _estimates(near, F.col("d2") <= NEAR, 1.0)
-    return checkpointed(estimates)
+            given = {f"e{i}": F.when(F.col("d2") <= NEAR, F.col(f"e{i}")) for i in range(SIZE)}
+            estimates = _estimates(_moments(near.withColumns(given)), 1.0)
+    estimates = stored(estimates, "estimates")
+    discard(*held)
+    return estimates
 
 
 def judge_quality(docs: DataFrame, limit: float = FAR) -> DataFrame:

@@ -190,6 +190,24 @@ def test_distances_by_matrices(spark):
     assert not out[200]["kept"] and not out[201]["kept"]
 
 
+def test_steps_of_the_fit_join_tables_of_known_size(spark, monkeypatch):
+    """No step shuffles all rows or fills Bloom filters to find estimates of one row a group."""
+    plans, plain = [], quality_rules._with_distance
+
+    def seen(*args, **named):
+        out = plain(*args, **named)
+        query = out._jdf.queryExecution()
+        plans.append(query.optimizedPlan().toString() + query.executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(quality_rules, "_with_distance", seen)
+    assert quality_rules.judge_quality(spark.createDataFrame(corpus(), SCHEMA)).count() == len(corpus())
+    assert len(plans) == quality_rules.STEPS + 1
+    for plan in plans:
+        assert "BroadcastHashJoin" in plan
+        assert "might_contain" not in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_columns_of_any_name_come_back(spark):
     names = ["m0", "l10", "c01", "x0", "y0", "d2", "row", "copy", "_copy", "_words", "_source", "_url", "_best", "_rule", "dotted.name", "url"]
     extra = {name: F.concat(F.lit(f"{name} "), F.col("doc_id").cast("string")) for name in names}
